@@ -1,3 +1,3 @@
 """The query catalog, one module per area."""
 
-from outlay.plans.catalog import transactions  # noqa: F401
+from outlay.plans.catalog import reports, transactions  # noqa: F401
