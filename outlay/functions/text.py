@@ -17,7 +17,8 @@ def money(col: Column | str) -> Column:
 
 def fixed(col: Column | str, digits: int) -> Column:
     """Fixed number of digits without separators, halves rounded to even."""
-    return F.format_string(f"%.{digits}f", F.bround(col, digits))
+    value = F.col(col) if isinstance(col, str) else col
+    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
 
 
 def present(col: Column | str) -> Column:

@@ -35,46 +35,51 @@ def running_before(
     keys: list[str],
     order: str,
     sums: dict[str, Column],
+    extremes: dict[str, tuple[str, Column]] | None = None,
     blocks: int = BLOCKS,
 ) -> DataFrame:
-    """Add, per row, the sum of each expression over the key's rows with a smaller ``order``.
+    """Add, per row, aggregates over the key's rows with a smaller ``order``.
 
-    ``order`` must be unique within a key and both keys and order must not be null.
-    The sum is 0 where no earlier row exists.
+    ``sums`` are 0 where no earlier row exists; ``extremes`` (``"min"`` or ``"max"`` and an
+    expression) are null there. ``order`` must be unique within a key; keys and order must
+    not be null. A ``_block`` column already present is used as it is.
     """
-    names = list(sums)
-    rows = df
-    for name in names:
-        rows = rows.withColumn(f"_v_{name}", sums[name])
+    kinds = {name: ("sum", col) for name, col in sums.items()} | (extremes or {})
+    agg = {"sum": F.sum, "min": F.min, "max": F.max}
+    merge = {"min": F.least, "max": F.greatest}
+    rows = df.withColumns({f"_v_{name}": col for name, (_, col) in kinds.items()})
     if "_block" not in df.columns:
         rows = with_block(rows, order, blocks)
     per_block = rows.groupBy(*keys, "_block").agg(
-        *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names]
+        *[agg[kind](f"_v_{n}").alias(f"_p_{n}") for n, (kind, _) in kinds.items()]
     )
     parts = keys or [F.lit(0)]
     before = W.partitionBy(*parts).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_block.select(
-        *keys, "_block", *[F.sum(f"_s_{n}").over(before).alias(f"_o_{n}") for n in names]
+        *keys,
+        "_block",
+        *[agg[kind](f"_p_{n}").over(before).alias(f"_o_{n}") for n, (kind, _) in kinds.items()],
     )
     inside = (
         W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     )
     out = rows.join(offsets, [*keys, "_block"])
+
+    def total(name: str, kind: str) -> Column:
+        here, offset = agg[kind](f"_v_{name}").over(inside), F.col(f"_o_{name}")
+        if kind == "sum":
+            return F.coalesce(here, F.lit(0)) + F.coalesce(offset, F.lit(0))
+        return merge[kind](here, offset)
+
     return out.select(
         *[F.col(c) for c in df.columns],
-        *[
-            (
-                F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0))
-                + F.coalesce(f"_o_{n}", F.lit(0))
-            ).alias(n)
-            for n in names
-        ],
+        *[total(n, kind).alias(n) for n, (kind, _) in kinds.items()],
     )
 
 
 def row_index(df: DataFrame, order: str, name: str = "row_index", blocks: int = BLOCKS) -> DataFrame:
     """Zero-based position of each row by ``order`` (unique, not null)."""
-    return running_before(df, [], order, {name: F.lit(1).cast("long")}, blocks)
+    return running_before(df, [], order, {name: F.lit(1).cast("long")}, blocks=blocks)
 
 
 def lookup(
