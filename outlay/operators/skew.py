@@ -91,11 +91,11 @@ def lookup(
     how: str = "inner",
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """Join ``fact`` with ``dim`` (one row per key, ``weight`` = fact rows of that key).
+    """Join ``fact`` with the usually much smaller ``dim``; ``weight`` = fact rows of the key.
 
     A key with more than a thousandth of the rows is heavy. At most ``HEAVY_KEYS`` keys
     can be, so their list has a fixed bound and is broadcast; their fact rows are
-    spread over salts by a hash of ``spread`` and their one dim row is repeated per salt.
+    spread over salts by a hash of ``spread`` and their dim rows are repeated per salt.
     """
     total = dim.agg(F.sum(weight)).scalar()
     share = F.greatest(total / F.lit(HEAVY_KEYS), F.lit(float(heavy_rows)))
@@ -103,7 +103,7 @@ def lookup(
         "_salts",
         F.when(F.col(weight) > share, F.ceil(F.col(weight) / share)).otherwise(1).cast("int"),
     )
-    heavy = salted.where("_salts > 1").select(*keys, F.col("_salts").alias("_n"))
+    heavy = salted.where("_salts > 1").groupBy(*keys).agg(F.max("_salts").alias("_n"))
     left = (
         fact.join(F.broadcast(heavy), keys, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_n", F.lit(1))).cast("int"))

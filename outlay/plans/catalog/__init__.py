@@ -1,3 +1,3 @@
 """The query catalog, one module per area."""
 
-from outlay.plans.catalog import fraud, reports, transactions  # noqa: F401
+from outlay.plans.catalog import fraud, matching, reports, transactions  # noqa: F401
