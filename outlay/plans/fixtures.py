@@ -66,8 +66,8 @@ select k, row_number() over (partition by k order by partkey, quantity, price) a
   floor(l_extendedprice / l_quantity) + 0.25 as unit_price from lineitem where l_quantity > 0) l
  join part on p_partkey = partkey""",
     "v_doc": """
-select i.k, i.vendor, i.invoice_number, i.d, s.subtotal, round(s.subtotal * 0.05, 2) as tax,
- round(s.subtotal + round(s.subtotal * 0.05, 2), 2) as total, s.n_items
+select i.k, i.vendor, i.invoice_number, i.d, s.subtotal, round(s.subtotal * 0.05 + 0.0001, 2) as tax,
+ round(s.subtotal + round(s.subtotal * 0.05 + 0.0001, 2), 2) as total, s.n_items
  from v_inv0 i join (select k, round(sum(line_total), 2) as subtotal, count(*) as n_items from v_lines group by k) s
  on s.k = i.k""",
 }
