@@ -57,15 +57,12 @@ ANY_DATE = (
     rf"(?i)((?:{MONTHS})[a-z]*\s+\d{{1,2}},?\s+\d{{4}})",
     rf"(?i)(\d{{1,2}}\s+(?:{MONTHS})[a-z]*\s+\d{{4}})",
 )
-# Date shapes with the formats that read them; month first where both fit.
-DATE_SHAPES = (
-    (r"(\d{4}-\d{1,2}-\d{1,2})", ("yyyy-M-d",)),
-    (r"(\d{4}/\d{1,2}/\d{1,2})", ("yyyy/M/d",)),
-    (r"(\d{1,2}/\d{1,2}/\d{4})", ("M/d/yyyy", "d/M/yyyy")),
-    (r"(\d{1,2}-\d{1,2}-\d{4})", ("M-d-yyyy", "d-M-yyyy")),
-    (r"(\d{1,2}/\d{1,2}/\d{2})(?!\d)", ("M/d/yy", "d/M/yy")),
-    (r"(\d{1,2}-\d{1,2}-\d{2})(?!\d)", ("M-d-yy", "d-M-yy")),
-)
+# How a date may be written; two-digit years from 76 on are of the last century.
+YEAR_FIRST = r"(\d{4}[/-]\d{1,2}[/-]\d{1,2})"
+YEAR_LAST = r"(\d{1,2}[/-]\d{1,2}[/-](?:\d{4}|\d{2}))(?!\d)"
+MONTH_FIRST = rf"(?i)((?:{MONTHS})[a-z]*\.?\s+\d{{1,2}},?\s+\d{{4}})"
+DAY_FIRST = rf"(?i)(\d{{1,2}}\s+(?:{MONTHS})[a-z]*\.?,?\s+\d{{4}})"
+LAST_CENTURY = "76"
 AMOUNT = r"\s*:?\s*\$?\s*([\d,]+\.?\d{0,2})"
 TOTAL_AMOUNT = (
     r"(?i)\b(?:Total|Amount Due|Balance Due|Grand Total|Total Amount|Amount Payable|Net Total)" + AMOUNT,
@@ -92,18 +89,41 @@ def plain_number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
 
 
+def each(values: Column | list[Column], fn) -> Column:
+    """``fn`` over an array; the values are computed once, however often ``fn`` uses them."""
+    return F.transform(F.array(*values) if isinstance(values, list) else values, fn)
+
+
+def first_of(values: Column, cond=lambda v: v.isNotNull()) -> Column:
+    return F.get(F.filter(values, cond), F.lit(0))
+
+
+def _date(parts: Column, year: int, month: int, day: int) -> Column:
+    """A date from text parts; impossible ones give null without an exception."""
+    y = F.get(parts, F.lit(year))
+    full = F.when(F.length(y) > 2, y).when(y >= LAST_CENTURY, F.concat(F.lit("19"), y)).otherwise(F.concat(F.lit("20"), y))
+    return F.concat_ws("-", full, F.get(parts, F.lit(month)), F.get(parts, F.lit(day))).try_cast("date")
+
+
+def _named_date(parts: Column, month: int, day: int) -> Column:
+    at = F.instr(F.lit(MONTHS.replace("|", "")), F.lower(F.substring(F.get(parts, F.lit(month)), 1, 3)))
+    numbered = F.array(F.get(parts, F.lit(2)), F.floor((at + 2) / 3).cast("string"), F.get(parts, F.lit(day)))
+    return F.when(at > 0, _date(numbered, 0, 1, 2))
+
+
 def parse_date(text: Column) -> Column:
-    """The first thing in a text that reads as a date, else null."""
-    tries = []
-    for shape, formats in DATE_SHAPES:
-        found = first_match(text, shape)
-        tries += [F.try_to_timestamp(found, F.lit(f)).cast("date") for f in formats]
-    month_first = rf"(?i)({MONTHS})[a-z]*\.?\s+(\d{{1,2}}),?\s+(\d{{4}})"
-    day_first = rf"(?i)(\d{{1,2}})\s+({MONTHS})[a-z]*\.?,?\s+(\d{{4}})"
-    for shape, (day, month, year) in ((month_first, (2, 1, 3)), (day_first, (1, 2, 3))):
-        named = F.concat_ws(" ", *[first_match(text, shape, g) for g in (day, month, year)])
-        tries.append(F.try_to_timestamp(F.initcap(named), F.lit("d MMM yyyy")).cast("date"))
-    return F.coalesce(*tries)
+    """The first thing in a text that reads as a date, else null; month first where both fit."""
+
+    def tried(pattern: str, splitter: str, *readings) -> Column:
+        parts = F.split(F.regexp_extract(text, pattern, 1), splitter)
+        return first_of(each([parts], lambda p: F.coalesce(*[read(p) for read in readings])))
+
+    return F.coalesce(
+        tried(YEAR_FIRST, "[/-]", lambda p: _date(p, 0, 1, 2)),
+        tried(YEAR_LAST, "[/-]", lambda p: _date(p, 2, 0, 1), lambda p: _date(p, 2, 1, 0)),
+        tried(MONTH_FIRST, r"[.,]?\s+", lambda p: _named_date(p, 0, 1)),
+        tried(DAY_FIRST, r"[.,]?\s+", lambda p: _named_date(p, 1, 0)),
+    )
 
 
 def lines_of(text: Column) -> Column:
@@ -207,21 +227,24 @@ def fallback_vendor(text: Column) -> Column:
 
 
 def fallback_number(text: Column) -> Column:
-    tries = []
-    for pattern in ANY_NUMBER:
-        found = strip(first_match(text, pattern))
-        ok = found.rlike(r"\d") & F.length(found).between(3, 30) & ~found.rlike(r"^\d{1,2}$")
-        tries.append(F.when(ok, found))
-    return F.coalesce(*tries)
+    found = each([F.regexp_extract(text, p, 1) for p in ANY_NUMBER], strip)
+    return first_of(
+        found, lambda n: n.rlike(r"\d") & F.length(n).between(3, 30) & ~n.rlike(r"^\d{1,2}$")
+    )
+
+
+def header_date(line: Column) -> Column:
+    return first_of(each([F.regexp_extract(line, p, 1) for p in HEADER_DATE], parse_date))
+
+
+def header_number(line: Column) -> Column:
+    return first_of(F.array(*[F.regexp_extract(line, p, 1) for p in HEADER_NUMBER]), lambda n: n.rlike(r"\d"))
 
 
 def fallback_date(text: Column, as_of: Column) -> Column:
     """The first date that is not after ``as_of`` and at most ten years before it."""
-    tries = []
-    for pattern in ANY_DATE:
-        found = parse_date(F.regexp_replace(first_match(text, pattern), r"\s+", " "))
-        tries.append(F.when(found.between(F.date_sub(as_of, 3650), as_of), found))
-    return F.coalesce(*tries)
+    found = each([F.regexp_extract(text, p, 1) for p in ANY_DATE], parse_date)
+    return first_of(found, lambda x: x.between(F.date_sub(as_of, 3650), as_of))
 
 
 def _first_positive(text: Column, patterns: tuple[str, ...], all_matches: bool) -> Column:

@@ -63,18 +63,11 @@ def _last(values: Column) -> Column:
 def with_header_fields(sections: DataFrame) -> DataFrame:
     """Add ``vendor`` (first line like a name), ``invoice_number`` and ``d`` (last line wins)."""
 
-    def number(line: Column) -> Column:
-        tries = [X.first_match(line, p) for p in X.HEADER_NUMBER]
-        return F.coalesce(*[F.when(t.rlike(r"\d"), t) for t in tries])
-
-    def date(line: Column) -> Column:
-        return F.coalesce(*[X.parse_date(X.first_match(line, p)) for p in X.HEADER_DATE])
-
     named = F.filter("header", lambda s: (F.length(s) >= 4) & ~s.rlike(X.HEADER_NOISE))
     return (
         sections.withColumn("vendor", F.get(named, F.lit(0)))
-        .withColumn("invoice_number", _last(F.transform("header", number)))
-        .withColumn("d", _last(F.transform("header", date)))
+        .withColumn("invoice_number", _last(F.transform("header", X.header_number)))
+        .withColumn("d", _last(F.transform("header", X.header_date)))
     )
 
 
@@ -95,6 +88,15 @@ def with_items(sections: DataFrame) -> DataFrame:
     ).drop("item_numbers")
 
 
+def item_rows(docs: DataFrame, items: str = "line_items") -> DataFrame:
+    """One row per line item.
+
+    The outer form keeps Spark from copying the parse into an inferred size filter, which
+    makes planning explode; the row of an itemless document is dropped afterwards.
+    """
+    return docs.select("doc_id", F.inline_outer(items)).where("total is not null")
+
+
 def with_totals(sections: DataFrame) -> DataFrame:
     """Add ``subtotal, tax, total``: the last number of the first footer line of each kind."""
     numbered = F.filter(

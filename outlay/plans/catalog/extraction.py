@@ -92,12 +92,12 @@ ITEMS = "select k as doc_id, description, cast(quantity as double) as quantity,
 
 @query(with_views(ITEMS.format("1.0"), "v_lines"))
 def extract_line_items(spark, sf):
-    return E.with_items(sections(spark, sf)).select("doc_id", F.inline("line_items"))
+    return E.item_rows(E.with_items(sections(spark, sf)))
 
 
 @query(with_views(ITEMS.format("0.7"), "v_lines"))
 def extract_fallback_items(spark, sf):
-    return documents(spark, sf).select("doc_id", F.inline(X.fallback_items(F.col("text"))))
+    return E.item_rows(E.with_fallback(documents(spark, sf)), "fb_items")
 
 
 @query(with_views("select k as doc_id, round(subtotal, 2) as subtotal, round(tax, 2) as tax, round(total, 2) as total from v_doc", DOC))
@@ -157,7 +157,10 @@ def align_invoice_year(spark, sf):
 
 @query(
     with_views(
-        """select k as doc_id, vendor, invoice_number, d, round(total, 2) as total, round(subtotal, 2) as subtotal, round(tax, 2) as tax, n_items,
+        """select k as doc_id, vendor, case when regexp_extract(invoice_number, '20\\d{2}') <> cast(year(d) as varchar)
+  and regexp_extract(invoice_number, '20\\d{2}')[1:3] = cast(year(d) as varchar)[1:3]
+  then regexp_replace(invoice_number, '20\\d{2}', cast(year(d) as varchar)) else invoice_number end as invoice_number,
+ d, round(total, 2) as total, round(subtotal, 2) as subtotal, round(tax, 2) as tax, n_items,
  case when invoice_number is not null or d between date '2000-01-01' - 3650 and date '2000-01-01' then 'hybrid' else 'intelligent' end as parser_used from v_doc""",
         DOC,
     )
