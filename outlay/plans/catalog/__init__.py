@@ -1,3 +1,3 @@
 """The query catalog, one module per area."""
 
-from outlay.plans.catalog import audit, extraction, fraud, matching, reports, transactions  # noqa: F401
+from outlay.plans.catalog import audit, extraction, fraud, matching, ml, reports, streaming, transactions  # noqa: F401
