@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from outlay.config import FraudConfig
 from outlay.functions.text import fixed, present
 from outlay.operators.skew import lookup, running_before, with_block
+from outlay.session import materialize
 
 # Severity, confidence, description and recommended action per alert type.
 ALERTS: dict[str, tuple[str, float, str, str]] = {
@@ -214,6 +215,8 @@ def near_duplicates(invoices: DataFrame, cfg: FraudConfig = FraudConfig()) -> Da
         )
         .select(*key, "total2", "d2", "n", (F.col("s_max") < F.col("q_min")).alias("before"))
     )
+    # Usually few; a written table lets the planner see that.
+    pairs = materialize(pairs, "near-pairs")
     # Whole triple earlier: its size counts for every row. Interleaved: rank by seq.
     whole = pairs.where("before").groupBy(*key).agg(F.sum("n").alias("n_whole"))
     mixed = pairs.where(~F.col("before"))
