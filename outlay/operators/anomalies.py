@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from outlay.config import AnomalyConfig
 from outlay.functions.text import fixed
 from outlay.operators.skew import lookup
+from outlay.session import materialize
 
 # Amounts in one cell differ by less than five per cent whichever comes first, and
 # amounts more than two cells apart never do (ln(1/0.95) < 2 * 0.048 and 0.048 < ln 1.05).
 CELL = 0.048
 NO_DATE = "0001-01-01"
-CATEGORY_BROADCAST_ROWS = 100_000
 
 
 def _cell(amount: Column) -> Column:
@@ -61,17 +61,9 @@ def with_global_z(df: DataFrame) -> DataFrame:
 
 
 def with_category_z(df: DataFrame, cfg: AnomalyConfig = AnomalyConfig()) -> DataFrame:
-    """Null where the category is too small; 0 where all its amounts are equal.
-
-    The statistics are broadcast when there are few categories, which one cheap
-    count over the aggregate checks; otherwise they are looked up with salts.
-    """
+    """Null where the category is too small; 0 where all its amounts are equal."""
     stats = category_stats(df).where(F.col("category").isNotNull())
-    few = stats.limit(CATEGORY_BROADCAST_ROWS + 1).count() <= CATEGORY_BROADCAST_ROWS
-    if few:
-        joined = df.join(F.broadcast(stats), "category", "left")
-    else:
-        joined = lookup(df, stats, ["category"], "cat_n", ["seq"], "left")
+    joined = lookup(df, stats, ["category"], "cat_n", ["seq"], "left")
     z = F.when(F.col("cat_std") == 0, 0.0).otherwise(
         (F.col("amount") - F.col("cat_mean")) / F.col("cat_std")
     )
@@ -82,8 +74,9 @@ def with_category_z(df: DataFrame, cfg: AnomalyConfig = AnomalyConfig()) -> Data
 
 def _cells(df: DataFrame) -> DataFrame:
     """Per vendor, day and amount cell: rows and extremes. At most some ten thousand cells
-    of doubles exist per vendor and day, however many rows there are."""
-    return df.groupBy("vendor", "_day", "_cell").agg(
+    of doubles exist per vendor and day, however many rows there are. Written, as all the
+    vendor rules start from here instead of the rows."""
+    cells = df.groupBy("vendor", "_day", "_cell").agg(
         F.count("*").alias("cell_n"),
         F.sum("amount").alias("cell_sum"),
         F.min("amount").alias("a_min"),
@@ -91,6 +84,7 @@ def _cells(df: DataFrame) -> DataFrame:
         F.min("seq").alias("s_min"),
         F.max("seq").alias("s_max"),
     )
+    return materialize(cells, "cells")
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -146,6 +140,9 @@ def _duplicate_cells(keyed: DataFrame, cells: DataFrame, cfg: AnomalyConfig) ->
         F.col("s_min").alias("_s"),
         F.explode(F.array(*[F.col("_cell") + i for i in (-2, -1, 1, 2)])).alias("_cell"),
     )
+    asking = materialize(asking, "open-cells")
+    if asking.isEmpty():
+        return around.withColumn("cell_dup", F.col("_sure")).drop("_sure", "_open")
     first = F.when(F.col("seq") < F.col("_s"), F.col("amount")).otherwise(F.col("_a"))
     found = (
         keyed.select("vendor", "_day", "_cell", "amount", "seq")

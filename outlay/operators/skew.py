@@ -11,9 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from outlay.session import materialize
+
 BLOCKS = 128
 HEAVY_KEYS = 1000
 HEAVY_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 def with_block(df: DataFrame, order: str, blocks: int = BLOCKS) -> DataFrame:
@@ -90,19 +93,27 @@ def lookup(
     spread: list[str],
     how: str = "inner",
     heavy_rows: int = HEAVY_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join ``fact`` with the usually much smaller ``dim``; ``weight`` = fact rows of the key.
 
-    A key with more than a thousandth of the rows is heavy. At most ``HEAVY_KEYS`` keys
-    can be, so their list has a fixed bound and is broadcast; their fact rows are
-    spread over salts by a hash of ``spread`` and their dim rows are repeated per salt.
+    The dim is written once, because it is read for its size, for its heavy keys and for the
+    join. A dim counted as small is broadcast, and the fact rows are not shuffled. Else a key
+    with more than a thousandth of the rows is heavy. At most ``HEAVY_KEYS`` keys can be, so
+    their list has a fixed bound and is broadcast; their fact rows are spread over salts by a
+    hash of ``spread`` and their dim rows are repeated per salt.
     """
-    total = dim.agg(F.sum(weight)).scalar()
-    share = F.greatest(total / F.lit(HEAVY_KEYS), F.lit(float(heavy_rows)))
-    salted = dim.withColumn(
-        "_salts",
-        F.when(F.col(weight) > share, F.ceil(F.col(weight) / share)).otherwise(1).cast("int"),
-    )
+    dim = materialize(dim, "lookup")
+    size = dim.agg(
+        F.count("*").alias("n"), F.sum(weight).alias("total"), F.max(weight).alias("largest")
+    ).first()
+    if size.n <= broadcast_rows:
+        return fact.join(F.broadcast(dim), keys, how)
+    share = max(size.total / HEAVY_KEYS, float(heavy_rows))
+    if size.largest <= share:
+        return fact.join(dim, keys, how)
+    salts = F.when(F.col(weight) > share, F.ceil(F.col(weight) / share)).otherwise(1).cast("int")
+    salted = dim.withColumn("_salts", salts)
     heavy = salted.where("_salts > 1").groupBy(*keys).agg(F.max("_salts").alias("_n"))
     left = (
         fact.join(F.broadcast(heavy), keys, "left")

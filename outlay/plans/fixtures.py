@@ -32,7 +32,9 @@ select event_id as seq,
 select c_custkey as k, concat('vendor', cast(c_custkey as string)) as vendor,
  date '2024-01-05' + cast(n * (22 + c_custkey % 18) as int) as d,
  cast(50 + c_custkey % 500 + n * (c_custkey % 7) as double) as amount
- from customer cross join (values (0),(1),(2),(3),(4),(5)) as r(n)""",
+ from ("""
+    + " union all ".join(f"select c_custkey, {n} as n from customer" for n in range(6))
+    + ") as r",
     "v_inv0": """
 select o.o_orderkey as k, o.o_orderkey * 10 as seq, lower(concat(n.n_name, ' ', c.c_mktsegment)) as vendor,
  case when o.o_orderkey % 97 = 0 then null else concat('INV-', lpad(cast(o.o_orderkey as string), 9, '0')) end as invoice_number,

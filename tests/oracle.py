@@ -73,9 +73,10 @@ if __name__ == "__main__":
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
+    skip = set(filter(None, os.environ.get("ORACLE_SKIP", "").split()))
     entries = all_queries()
     bad = []
-    for name in args or list(entries):
+    for name in args or [n for n in entries if n not in skip]:
         try:
             ok, text = compare(spark, con, sf, entries[name].run, entries[name].sql)
         except Exception as e:  # noqa: BLE001
