@@ -196,20 +196,27 @@ def line_item(line: Column, numbers: Column) -> Column:
 
 def fallback_items(text: Column) -> Column:
     """Items from lines that read ``description quantity price``."""
-    pattern = r"(.+?)\s+(\d+)\s+\$?\s*([\d,]+\.?\d*)"
+    quantity, price = r"\s+(\d+)\s", r"\s+\d+\s+\$?\s*([\d,]+\.?\d*)"
 
-    def item(line: Column) -> Column:
-        qty = first_match(line, pattern, 2).try_cast("double")
-        price = plain_number(first_match(line, pattern, 3))
+    def item(parts: Column) -> Column:
+        qty = F.regexp_extract(parts["rest"], "^" + quantity, 1).try_cast("double")
+        each_price = plain_number(F.regexp_extract(parts["rest"], "^" + price, 1))
         return F.struct(
-            strip(F.regexp_extract(line, pattern, 1)).alias("description"),
+            strip(parts["head"]).alias("description"),
             qty.alias("quantity"),
-            price.alias("unit_price"),
-            (qty * price).alias("total"),
+            each_price.alias("unit_price"),
+            (qty * each_price).alias("total"),
             F.lit(0.7).alias("confidence"),
         )
 
-    return F.filter(F.transform(F.split(text, "\n"), item), lambda i: i["total"].isNotNull())
+    # The costly search runs once per line that can match; the numbers are read behind it.
+    lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"\s\d+\s+\$?\s*[\d,]"))
+    heads = each(lines, lambda s: F.struct(s.alias("line"), F.regexp_extract(s, "^(.+?)" + price, 1).alias("head")))
+    parts = each(
+        heads,
+        lambda h: F.struct(h["head"].alias("head"), F.substr(h["line"], F.length(h["head"]) + 1).alias("rest")),
+    )
+    return F.filter(each(parts, item), lambda i: i["total"].isNotNull())
 
 
 def fallback_vendor(text: Column) -> Column:
