@@ -15,18 +15,22 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from outlay.session import materialize
 
-BLOCKS = 1024
+BLOCK_ROWS = 100_000
+MIN_BLOCKS, MAX_BLOCKS = 16, 8192
 HEAVY_KEYS = 1000
 HEAVY_ROWS = 200_000
 BROADCAST_ROWS = 100_000
 
 
-def with_block(df: DataFrame, order: str, blocks: int = BLOCKS) -> DataFrame:
+def with_block(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame:
     """Add ``_block``: which quantile slice of ``order`` a row falls into.
 
     The slices only have to be monotone in ``order``; their sizes need not be exact. The
     slice is searched in two steps, among every ``step``-th bound and then between two.
+    Without ``blocks`` their number follows the number of rows.
     """
+    if blocks is None:
+        blocks = min(max(df.count() // BLOCK_ROWS, MIN_BLOCKS), MAX_BLOCKS)
     step = max(math.isqrt(blocks), 1)
     cuts = [i / blocks for i in range(1, blocks)]
     sketch = F.percentile_approx(order, cuts, blocks * 20)
@@ -51,7 +55,7 @@ def running_before(
     order: str,
     sums: dict[str, Column],
     extremes: dict[str, tuple[str, Column]] | None = None,
-    blocks: int = BLOCKS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Add, per row, aggregates over the key's rows with a smaller ``order``.
 
@@ -92,7 +96,7 @@ def running_before(
     )
 
 
-def row_index(df: DataFrame, order: str, name: str = "row_index", blocks: int = BLOCKS) -> DataFrame:
+def row_index(df: DataFrame, order: str, name: str = "row_index", blocks: int | None = None) -> DataFrame:
     """Zero-based position of each row by ``order`` (unique, not null)."""
     return running_before(df, [], order, {name: F.lit(1).cast("long")}, blocks=blocks)
 
