@@ -65,7 +65,6 @@ def compare(spark, con, sf_dir: str, run, sql: str | None) -> tuple[bool, str]:
 
 
 if __name__ == "__main__":
-    from outlay.plans.registry import all_queries
     from outlay.session import local_session
 
     args = sys.argv[1:]
@@ -74,7 +73,11 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     skip = set(filter(None, os.environ.get("ORACLE_SKIP", "").split()))
-    entries = all_queries()
+    from __spark_entry__ import oracle_sql, queries
+    from outlay.plans.registry import Entry
+
+    sqls = oracle_sql()
+    entries = {name: Entry(run, sqls.get(name)) for name, run in queries().items()}
     bad = []
     for name in args or [n for n in entries if n not in skip]:
         try:
