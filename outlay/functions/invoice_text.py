@@ -42,9 +42,12 @@ ANY_NUMBER = (
     r"(?i)\b([A-Z]{2,}\d{4,})\b",
 )
 MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+# A day-month pattern must not start inside a year, so the year-first forms go ahead of it.
 HEADER_DATE = (
+    r"(?i)date\s*:?\s*(\d{4}[/-]\d{1,2}[/-]\d{1,2})",
     r"(?i)date\s*:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
-    r"(?i)(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
+    r"(?<!\d)(\d{4}[/-]\d{1,2}[/-]\d{1,2})(?!\d)",
+    r"(?<![\d/-])(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
     rf"(?i)((?:{MONTHS})[a-z]*\s+\d{{1,2}},?\s+\d{{4}})",
 )
 ANY_DATE = (
@@ -52,14 +55,14 @@ ANY_DATE = (
     r"(?i)Dated\s*:?\s*([A-Za-z0-9\s,/-]+)",
     r"(?i)(?:Issue|Issued)\s+(?:Date|On)\s*:?\s*([A-Za-z0-9\s,/-]+)",
     r"(?i)Date\s+of\s+Invoice\s*:?\s*([A-Za-z0-9\s,/-]+)",
-    r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
-    r"(\d{4}[/-]\d{1,2}[/-]\d{1,2})",
+    r"(?<![\d/-])(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
+    r"(?<!\d)(\d{4}[/-]\d{1,2}[/-]\d{1,2})(?!\d)",
     rf"(?i)((?:{MONTHS})[a-z]*\s+\d{{1,2}},?\s+\d{{4}})",
     rf"(?i)(\d{{1,2}}\s+(?:{MONTHS})[a-z]*\s+\d{{4}})",
 )
 # How a date may be written; two-digit years from 76 on are of the last century.
-YEAR_FIRST = r"(\d{4}[/-]\d{1,2}[/-]\d{1,2})"
-YEAR_LAST = r"(\d{1,2}[/-]\d{1,2}[/-](?:\d{4}|\d{2}))(?!\d)"
+YEAR_FIRST = r"(?<!\d)(\d{4}[/-]\d{1,2}[/-]\d{1,2})"
+YEAR_LAST = r"(?<![\d/-])(\d{1,2}[/-]\d{1,2}[/-](?:\d{4}|\d{2}))(?!\d)"
 MONTH_FIRST = rf"(?i)((?:{MONTHS})[a-z]*\.?\s+\d{{1,2}},?\s+\d{{4}})"
 DAY_FIRST = rf"(?i)(\d{{1,2}}\s+(?:{MONTHS})[a-z]*\.?,?\s+\d{{4}})"
 LAST_CENTURY = "76"
@@ -75,8 +78,9 @@ VENDOR_LABELS = (
     r"(?i)(?:From|Vendor|Bill From|Billed By)\s*:?\s*([A-Za-z0-9\s&.,'-]+?)(?:\n|$)",
     r"(?i)(?:Company|Business)\s*:?\s*([A-Za-z0-9\s&.,'-]+?)(?:\n|$)",
 )
+# Fixed value: from this share on subtotal and tax do not make up the total.
+AMOUNTS_DIFFER = 0.02
 NOT_A_NAME = r"(?i)^(---|Page|\d+|Invoice|Bill|Date|From|To)"
-VENDOR_CHARS = 50
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
@@ -228,7 +232,7 @@ def fallback_vendor(text: Column) -> Column:
         F.filter(lines, lambda s: ~s.rlike(NOT_A_NAME) & ~s.rlike(r"^[\d\s/\-:]+$")), F.lit(0)
     )
     return F.struct(
-        F.coalesce(labelled, F.substring(named, 1, VENDOR_CHARS), F.lit("Unknown")).alias("vendor"),
+        F.coalesce(labelled, named, F.lit("Unknown")).alias("vendor"),
         F.when(labelled.isNotNull(), 0.85).when(named.isNotNull(), 0.6).otherwise(0.3).alias("confidence"),
     )
 
@@ -236,12 +240,17 @@ def fallback_vendor(text: Column) -> Column:
 def fallback_number(text: Column) -> Column:
     found = each([F.regexp_extract(text, p, 1) for p in ANY_NUMBER], strip)
     return first_of(
-        found, lambda n: n.rlike(r"\d") & F.length(n).between(3, 30) & ~n.rlike(r"^\d{1,2}$")
+        found, lambda n: n.rlike(r"\d") & (F.length(n) >= 3) & ~n.rlike(r"^\d{1,2}$")
     )
 
 
-def header_date(line: Column) -> Column:
-    return first_of(each([F.regexp_extract(line, p, 1) for p in HEADER_DATE], parse_date))
+def in_window(day: Column, as_of: Column) -> Column:
+    """Not after ``as_of`` and at most ten years before it."""
+    return day.between(F.date_sub(as_of, 3650), as_of)
+
+
+def header_date(line: Column, as_of: Column) -> Column:
+    return first_of(each([F.regexp_extract(line, p, 1) for p in HEADER_DATE], parse_date), lambda x: in_window(x, as_of))
 
 
 def header_number(line: Column) -> Column:
@@ -249,9 +258,9 @@ def header_number(line: Column) -> Column:
 
 
 def fallback_date(text: Column, as_of: Column) -> Column:
-    """The first date that is not after ``as_of`` and at most ten years before it."""
+    """The first date in the window of ``as_of``."""
     found = each([F.regexp_extract(text, p, 1) for p in ANY_DATE], parse_date)
-    return first_of(found, lambda x: x.between(F.date_sub(as_of, 3650), as_of))
+    return first_of(found, lambda x: in_window(x, as_of))
 
 
 def _first_positive(text: Column, patterns: tuple[str, ...], all_matches: bool) -> Column:
@@ -267,16 +276,28 @@ def _first_positive(text: Column, patterns: tuple[str, ...], all_matches: bool)
 
 
 def fallback_amounts(text: Column) -> Column:
-    """``struct(total, subtotal, tax)``; without a labelled total the largest money value."""
+    """``struct(total, subtotal, tax, off, amounts_differ)``; without a labelled total the largest money value.
+
+    ``off`` is the share by which subtotal and tax miss the total, ``amounts_differ`` warns from 2 % on.
+    """
     dollars = F.regexp_extract_all(text, F.lit(r"\$\s*([\d,]+(?:\.\d{1,2})?)"), F.lit(1))
     bare = F.regexp_extract_all(text, F.lit(r"(?:^|\s)([\d,]+\.\d{2})(?=\s|$)"), F.lit(1))
-    values = F.filter(F.transform(F.concat(dollars, bare), plain_number), lambda v: v.between(1, 1_000_000))
-    return F.struct(
+    values = F.filter(F.transform(F.concat(dollars, bare), plain_number), lambda v: v > 0)
+    amounts = F.struct(
         F.coalesce(_first_positive(text, TOTAL_AMOUNT, True), F.array_max(values)).alias("total"),
         _first_positive(text, SUBTOTAL_AMOUNT, False).alias("subtotal"),
         _first_positive(text, TAX_AMOUNT, False).alias("tax"),
     )
 
+    def checked(a: Column) -> Column:
+        off = F.try_divide(F.abs(a["subtotal"] + a["tax"] - a["total"]), a["total"])
+        return F.struct(
+            a["total"].alias("total"), a["subtotal"].alias("subtotal"), a["tax"].alias("tax"),
+            off.alias("off"), F.coalesce(off >= AMOUNTS_DIFFER, F.lit(False)).alias("amounts_differ"),
+        )
+
+    return F.get(each([amounts], checked), F.lit(0))
+
 
 def is_placeholder_vendor(vendor: Column) -> Column:
     low = F.lower(strip(vendor))

@@ -28,31 +28,34 @@ def with_sections(docs: DataFrame) -> DataFrame:
             lambda s: F.when(X.is_table_head(s), "head").when(s.rlike(X.TOTAL_WORDS), "total").otherwise(""),
         ),
     )
-    at = F.sequence(F.lit(0), F.size("lines") - 1)
-    at = F.when(F.size("lines") > 0, at).otherwise(F.array().cast("array<int>"))
-    placed = marked.withColumn("_heads", F.filter(at, lambda i: F.get("_marks", i) == "head")).withColumn(
-        "_totals", F.filter(at, lambda i: F.get("_marks", i) == "total")
-    )
+    n = F.size("lines")
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    def last_before(places: str, i: Column) -> Column:
-        return F.coalesce(F.array_max(F.filter(places, lambda p: p <= i)), F.lit(-1))
+    def change(i: Column) -> Column:
+        """Where a new section starts: a table head, and the first total after one."""
+        return F.get("_marks", i) != ""
 
-    def section(i: Column) -> Column:
-        head, total = last_before("_heads", i), last_before("_totals", i)
-        return F.when(head < 0, "header").when(total > head, "footer").otherwise("items")
+    places = marked.withColumn("_at", F.filter(at, change))
+    after = F.transform("_at", lambda i, j: F.coalesce(F.get("_at", j + 1), n))
+    runs = places.withColumn(
+        "_runs",
+        F.zip_with("_at", after, lambda i, end: F.struct(i.alias("at"), end.alias("end"), F.get("_marks", i).alias("mark"))),
+    )
 
-    tagged = placed.withColumn(
-        "_tagged",
-        F.filter(
-            F.transform("lines", lambda s, i: F.struct(s.alias("line"), section(i).alias("section"), F.get("_marks", i).alias("mark"))),
-            lambda t: t["mark"] != "head",
-        ),
+    def lines(start: Column, end: Column) -> Column:
+        return F.slice("lines", start + 1, end - start)
+
+    # Totals ahead of the first head belong to the header.
+    first = F.coalesce(F.get(F.filter("_runs", lambda r: r["mark"] == "head"), F.lit(0))["at"], n)
+    runs = runs.withColumn("_first", first).withColumn("_runs", F.filter("_runs", lambda r: r["at"] >= F.col("_first")))
+    items = F.transform(F.filter("_runs", lambda r: r["mark"] == "head"), lambda r: lines(r["at"] + 1, r["end"]))
+    footer = F.transform(F.filter("_runs", lambda r: r["mark"] == "total"), lambda r: lines(r["at"], r["end"]))
+    return (
+        runs.withColumn("header", lines(F.lit(0), F.col("_first")))
+        .withColumn("items", F.flatten(items))
+        .withColumn("footer", F.flatten(footer))
+        .drop("_marks", "_at", "_runs", "_first")
     )
-    for name in ("header", "items", "footer"):
-        tagged = tagged.withColumn(
-            name, F.transform(F.filter("_tagged", lambda t: t["section"] == name), lambda t: t["line"])
-        )
-    return tagged.drop("_marks", "_heads", "_totals", "_tagged")
 
 
 def _last(values: Column) -> Column:
@@ -60,14 +63,16 @@ def _last(values: Column) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, -1))
 
 
-def with_header_fields(sections: DataFrame) -> DataFrame:
-    """Add ``vendor`` (first line like a name), ``invoice_number`` and ``d`` (last line wins)."""
+def with_header_fields(sections: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Add ``vendor`` (first line like a name), ``invoice_number`` and ``d`` (last line wins).
 
+    Dates are judged as of ``as_of``, today where it is not given."""
+    day = F.current_date() if as_of is None else as_of
     named = F.filter("header", lambda s: (F.length(s) >= 4) & ~s.rlike(X.HEADER_NOISE))
     return (
         sections.withColumn("vendor", F.get(named, F.lit(0)))
         .withColumn("invoice_number", _last(F.transform("header", X.header_number)))
-        .withColumn("d", _last(F.transform("header", X.header_date)))
+        .withColumn("d", _last(F.transform("header", lambda s: X.header_date(s, day))))
     )
 
 
@@ -152,9 +157,9 @@ def with_confidence(parsed: DataFrame) -> DataFrame:
     )
 
 
-def parse_layout(docs: DataFrame) -> DataFrame:
+def parse_layout(docs: DataFrame, as_of: Column | None = None) -> DataFrame:
     """All fields of the layout pass."""
-    return with_confidence(with_valid_items(with_totals(with_items(with_header_fields(with_sections(docs))))))
+    return with_confidence(with_valid_items(with_totals(with_items(with_header_fields(with_sections(docs), as_of)))))
 
 
 def with_fallback(docs: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -171,7 +176,7 @@ def with_fallback(docs: DataFrame, as_of: Column | None = None) -> DataFrame:
 
 def extract_invoices(docs: DataFrame, as_of: Column | None = None) -> DataFrame:
     """One invoice per document: layout fields, filled from the pattern pass where missing."""
-    df = with_fallback(parse_layout(docs), as_of)
+    df = with_fallback(parse_layout(docs, as_of), as_of)
     df = df.withColumn("layout_total", F.col("total")).withColumn("layout_items", items_total("line_items"))
     vendor = F.when(X.is_placeholder_vendor(F.col("vendor")), F.col("fb_vendor.vendor")).otherwise(F.col("vendor"))
     number = F.when(X.is_valid_number(F.col("invoice_number")), F.col("invoice_number")).otherwise(

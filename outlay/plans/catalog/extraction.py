@@ -12,7 +12,15 @@ from outlay.plans.registry import query
 
 
 def documents(spark, sf):
-    """Every invoice of ``v_doc`` as text, with a page mark and a blank line to skip."""
+    """Every invoice of ``v_doc`` as text, with a page mark and a blank line to skip.
+
+    The key chooses how the date, the number and the total are written; some vendors are long.
+    """
+    kind = F.col("k") % 4
+    dated = F.when(kind == 1, F.date_format("d", "yyyy-MM-dd")).when(kind == 2, F.date_format("d", "MMMM d, yyyy"))
+    dated = dated.when(kind == 3, F.date_format("d", "yyyy/M/d")).otherwise(F.date_format("d", "MM/dd/yyyy"))
+    numbered = F.when(F.col("k") % 3 == 0, "Invoice No: ").when(F.col("k") % 3 == 1, "Reference No: ").otherwise("Invoice #")
+    totalled = F.when(F.col("k") % 5 == 1, "Amount due: ").when(F.col("k") % 5 == 2, "Balance due: ").otherwise("Total: ")
     lines = view(spark, sf, "v_lines")
     line = F.concat_ws(
         " ", "description", F.col("quantity").cast("string"),
@@ -27,14 +35,14 @@ def documents(spark, sf):
         "\n",
         F.lit("--- Page 1 ---"),
         F.col("vendor"),
-        F.concat(F.lit("Invoice No: "), "invoice_number"),
-        F.concat(F.lit("Date: "), F.date_format("d", "MM/dd/yyyy")),
+        F.concat(numbered, "invoice_number"),
+        F.concat(F.lit("Date: "), dated),
         F.lit(""),
         F.lit("Description  Qty  Price  Total"),
         F.array_join(F.transform("items", lambda i: i["line"]), "\n"),
         F.concat(F.lit("Subtotal: "), amount["subtotal"]),
         F.concat(F.lit("Tax (5%): "), amount["tax"]),
-        F.concat(F.lit("Total: "), amount["total"]),
+        F.concat(totalled, amount["total"]),
     )
     return docs.select(F.col("k").alias("doc_id"), text.alias("text"))
 
@@ -44,6 +52,7 @@ def sections(spark, sf):
 
 
 DOC = "v_doc"
+AS_OF = F.lit("2000-01-01").cast("date")
 
 
 @query(with_views("select k as doc_id, 6 + n_items + case when invoice_number is null then 0 else 1 end as n_lines from v_doc", DOC))
@@ -66,15 +75,16 @@ def extract_vendor(spark, sf):
     )
 
 
-@query(with_views("select k as doc_id, invoice_number, invoice_number as fallback_number from v_doc", DOC))
+# The pattern pass looks for "INV" before "Reference", so it reads such a number behind its letters.
+@query(with_views("select k as doc_id, invoice_number, case when k % 3 = 1 then substr(invoice_number, 4) else invoice_number end as fallback_number from v_doc", DOC))
 def extract_invoice_number(spark, sf):
     rows = E.with_fallback(E.with_header_fields(sections(spark, sf)))
     return rows.select("doc_id", "invoice_number", F.col("fb_number").alias("fallback_number"))
 
 
-@query(with_views("select k as doc_id, d, case when d between date '2000-01-01' - 3650 and date '2000-01-01' then d end as fallback_date from v_doc", DOC))
+@query(with_views("select k as doc_id, read_d as d, read_d as fallback_date from v_doc", DOC))
 def extract_date(spark, sf):
-    rows = E.with_fallback(E.with_header_fields(sections(spark, sf)), F.lit("2000-01-01").cast("date"))
+    rows = E.with_fallback(E.with_header_fields(sections(spark, sf), AS_OF), AS_OF)
     return rows.select("doc_id", "d", F.col("fb_d").alias("fallback_date"))
 
 
@@ -115,18 +125,27 @@ def extract_valid_items(spark, sf):
 
 @query(
     with_views(
-        """select k as doc_id, round(0.9 * 0.25 + 0.95 * 0.3 + 0.25 + case when invoice_number is null then 0.05 else 0.09 end + 0.09, 6) as confidence
+        """select k as doc_id, round(0.9 * 0.25 + 0.95 * 0.3 + 0.25 + case when invoice_number is null then 0.05 else 0.09 end
+ + case when read_d is null then 0.05 else 0.09 end, 6) as confidence
 from v_doc""",
         DOC,
     )
 )
 def extract_confidence(spark, sf):
-    return E.parse_layout(documents(spark, sf)).select("doc_id", F.round("confidence", 6).alias("confidence"))
+    return E.parse_layout(documents(spark, sf), AS_OF).select("doc_id", F.round("confidence", 6).alias("confidence"))
 
 
-@query(with_views("select k as doc_id, round(subtotal, 2) as subtotal, round(tax, 2) as tax, round(total, 2) as total from v_doc", DOC))
+@query(
+    with_views(
+        """select k as doc_id, round(subtotal, 2) as subtotal, round(tax, 2) as tax, round(total, 2) as total,
+ round(abs(subtotal + tax - total) / total, 4) as off, abs(subtotal + tax - total) / total >= 0.02 as amounts_differ from v_doc""",
+        DOC,
+    )
+)
 def extract_amounts(spark, sf):
-    return documents(spark, sf).select("doc_id", X.fallback_amounts(F.col("text")).alias("a")).select("doc_id", "a.*")
+    return documents(spark, sf).select("doc_id", X.fallback_amounts(F.col("text")).alias("a")).select("doc_id", "a.*").withColumn(
+        "off", F.round("off", 4)
+    )
 
 
 @query(
@@ -157,15 +176,15 @@ def align_invoice_year(spark, sf):
 
 @query(
     with_views(
-        """select k as doc_id, vendor, case when regexp_extract(invoice_number, '20\\d{2}') <> cast(year(d) as varchar)
-  and regexp_extract(invoice_number, '20\\d{2}')[1:3] = cast(year(d) as varchar)[1:3]
-  then regexp_replace(invoice_number, '20\\d{2}', cast(year(d) as varchar)) else invoice_number end as invoice_number,
- d, round(total, 2) as total, round(subtotal, 2) as subtotal, round(tax, 2) as tax, n_items,
- case when invoice_number is not null or d between date '2000-01-01' - 3650 and date '2000-01-01' then 'hybrid' else 'intelligent' end as parser_used from v_doc""",
+        """select k as doc_id, vendor, case when regexp_extract(invoice_number, '20\\d{2}') <> cast(year(read_d) as varchar)
+  and regexp_extract(invoice_number, '20\\d{2}')[1:3] = cast(year(read_d) as varchar)[1:3]
+  then regexp_replace(invoice_number, '20\\d{2}', cast(year(read_d) as varchar)) else invoice_number end as invoice_number,
+ read_d as d, round(total, 2) as total, round(subtotal, 2) as subtotal, round(tax, 2) as tax, n_items,
+ case when invoice_number is not null or read_d is not null then 'hybrid' else 'intelligent' end as parser_used from v_doc""",
         DOC,
     )
 )
 def extract_invoice(spark, sf):
-    return E.extract_invoices(documents(spark, sf), F.lit("2000-01-01").cast("date")).select(
+    return E.extract_invoices(documents(spark, sf), AS_OF).select(
         "doc_id", "vendor", "invoice_number", "d", "total", "subtotal", "tax", "n_items", "parser_used"
     )
