@@ -157,6 +157,13 @@ def invoice_history(invoice_id: str, *logs: DataFrame) -> DataFrame:
     )
 
 
+def events_per_invoice(log: DataFrame) -> DataFrame:
+    """How many events, and of how many types, each invoice has."""
+    return log.where("invoice_id is not null").groupBy("invoice_id").agg(
+        F.count("*").alias("n_events"), F.count_distinct("event_type").alias("n_types")
+    )
+
+
 def user_activity(log: DataFrame, user_id: str, start: str | None = None, end: str | None = None) -> DataFrame:
     return search(log, start, end, user_id=user_id)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from outlay.operators.audit import events
+from outlay.sources.files import TIME_FORMAT
 
 EXPORT_FORMATS = ("csv", "json")
 
@@ -12,7 +13,7 @@ EXPORT_FORMATS = ("csv", "json")
 def append_audit(rows: DataFrame, path: str) -> None:
     """Append audit rows below ``event_date=...``. Rebalancing gathers a day into few files
     and, unlike a repartition by day, splits a day that holds much of the data."""
-    rows.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").json(path)
+    rows.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").option("timestampFormat", TIME_FORMAT).json(path)
 
 
 def export_audit(log: DataFrame, path: str, fmt: str = "csv") -> DataFrame:
@@ -20,9 +21,9 @@ def export_audit(log: DataFrame, path: str, fmt: str = "csv") -> DataFrame:
     if fmt not in EXPORT_FORMATS:
         raise ValueError(f"Unsupported format: {fmt}")
     if fmt == "csv":
-        log.write.option("header", True).option("escape", '"').csv(path)
+        log.write.option("header", True).option("escape", '"').option("timestampFormat", TIME_FORMAT).csv(path)
     else:
-        log.write.json(path)
+        log.write.option("timestampFormat", TIME_FORMAT).json(path)
     n = log.agg(F.count("*").alias("entry_count"))
     return events(
         n,

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from outlay.config import FraudConfig
 from outlay.operators import fraud as R
+from outlay.sources.files import TIME_FORMAT
 
 
 def _start(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -30,9 +31,9 @@ def ingest_audit(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     is repeated after a failure leaves no row twice."""
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        rows.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date").json(
-            batch_path(path, batch_id)
-        )
+        rows.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date").option(
+            "timestampFormat", TIME_FORMAT
+        ).json(batch_path(path, batch_id))
 
     return _start(stream, checkpoint, write)
 

@@ -32,7 +32,7 @@ def _norm(df: pd.DataFrame) -> pd.DataFrame:
     for c in df.columns:
         col = df[c]
         if str(col.dtype).startswith(("datetime", "date")):
-            df[c] = col.astype(str).str.slice(0, 19).str.replace(" 00:00:00", "").replace({"NaT": "null", "None": "null"})
+            df[c] = col.map(lambda v: "null" if pd.isna(v) else v.isoformat(" ").removesuffix(" 00:00:00"))
         elif pd.api.types.is_bool_dtype(col):
             df[c] = col.astype(str)
         elif pd.api.types.is_numeric_dtype(col):

@@ -70,6 +70,20 @@ def test_csv_scan_finds_missing_columns(spark, tmp_path):
         files.read_transactions(spark, str(tmp_path / "b.csv"))
 
 
+def test_csv_files_with_other_column_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("date,vendor,amount\n2024-01-01,x,5\n")
+    (tmp_path / "b.csv").write_text('"amount","date","merchant"\n7,2024-02-02,y\n')
+    rows = files.read_transactions(spark, str(tmp_path)).select("date", "vendor", "amount").collect()
+    assert sorted(map(tuple, rows)) == [("2024-01-01", "x", "5"), ("2024-02-02", "y", "7")]
+
+
+def test_audit_files_keep_microseconds(spark, log, tmp_path):
+    exact = log.withColumn("timestamp", F.lit("2024-01-01 10:00:00.123456").cast("timestamp"))
+    sinks.append_audit(exact, str(tmp_path / "log"))
+    got = files.read_audit(spark, str(tmp_path / "log")).select("timestamp").distinct().collect()
+    assert [r.timestamp.microsecond for r in got] == [123456]
+
+
 def test_text_scan_takes_allowed_types_whole(spark, tmp_path):
     (tmp_path / "one.txt").write_text("a\nb")
     (tmp_path / "two.png").write_text("zz")
@@ -102,7 +116,7 @@ def test_stream_scores_invoices_like_one_batch(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
         S.score_invoices(stream, out["history"], out["alerts"], out["cp"]).awaitTermination()
-    cols = ["invoice_id", "alert_type", "occurrences"]
+    cols = ["invoice_id", "alert_type", "occurrences", "alert_id"]
     got = sorted(map(tuple, spark.read.parquet(out["alerts"]).select(*cols).collect()))
     want = sorted(map(tuple, R.alerts(spark.createDataFrame(rows, schema)).select(*cols).collect()))
     assert got == want and got
