@@ -55,4 +55,4 @@ class FraudConfig:
     history_z: float = 3.0
     low_confidence: float = 0.5
     payment_days: int = 30
-    vendor_chars: int = 10
+    vendor_chars: int | None = None  # the whole name; 10 compares the first ten characters

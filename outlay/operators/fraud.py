@@ -102,8 +102,7 @@ def document_alerts(invoices: DataFrame, cfg: FraudConfig = FraudConfig()) -> Da
         (
             round_amount,
             _alert("suspicious_round_amount", [
-                _text("Total is exact multiple of $100"),
-                F.lit("Large round amounts may indicate fabrication"),
+                _text("Total is a whole number of hundreds: ", _dollars(total)),
             ]),
         ),
         (
@@ -128,15 +127,14 @@ def document_alerts(invoices: DataFrame, cfg: FraudConfig = FraudConfig()) -> Da
             F.coalesce(F.col("confidence"), F.lit(1.0)) < cfg.low_confidence,
             _alert("low_ocr_confidence", [
                 _text("OCR confidence: ", fixed(F.col("confidence") * 100, 1), "%"),
-                F.lit("May indicate poor scan quality or document alteration"),
+                F.lit(f"Below {cfg.low_confidence:g}"),
             ]),
         ),
         (
             F.size(missing) > 0,
             _alert("missing_critical_fields", [
                 _text("Missing fields: ", F.array_join(missing, ", ")),
-                F.lit("Incomplete invoices may be fraudulent"),
-            ]),
+                            ]),
         ),
     ]
     named = [
@@ -297,20 +295,19 @@ def format_alerts(invoices: DataFrame, cfg: FraudConfig = FraudConfig()) -> Data
         .agg(F.max("seq").alias("known_from"), F.count("*").alias("n_known"))
         .where(F.col("n_known") == cfg.min_history)
     )
-    formats = vendor_formats(invoices)
-    earliest = formats.groupBy("vendor").agg(
-        F.min("first_seq").alias("numbered_from"), F.count("*").alias("n_formats")
-    )
+    # A vendor has few shapes; a shape's alert tells how many there were before it.
+    before = F.row_number().over(W.partitionBy("vendor").orderBy("first_seq")) - 1
     new = (
-        formats.join(started, "vendor")
-        .join(earliest, "vendor")
-        .where((F.col("first_seq") > F.col("known_from")) & (F.col("first_seq") > F.col("numbered_from")))
+        vendor_formats(invoices)
+        .withColumn("n_before", before)
+        .join(started, "vendor")
+        .where((F.col("first_seq") > F.col("known_from")) & (F.col("n_before") > 0))
     )
     return _rows(
         new,
         _alert("inconsistent_invoice_format", [
             _text("Current format: ", F.col("format")),
-            _text("Formats of the vendor: ", F.col("n_formats").cast("string")),
+            _text("Shapes used before: ", F.col("n_before").cast("string")),
         ]),
     )
 
@@ -375,8 +372,8 @@ def amount_alerts(invoices: DataFrame, cfg: FraudConfig = FraudConfig()) -> Data
 
 
 def unpaid(invoices: DataFrame, transactions: DataFrame, cfg: FraudConfig = FraudConfig()) -> DataFrame:
-    """Invoices without any transaction within a month whose vendor contains the first
-    characters of the invoice vendor.
+    """Invoices without any transaction within a month whose vendor contains the invoice
+    vendor, or with ``vendor_chars`` its first characters.
 
     Vendor names are joined on equal substrings (no cross join), payments are reduced to
     days per name start, and a range window per name start finds the nearest payment. Its
@@ -384,7 +381,7 @@ def unpaid(invoices: DataFrame, transactions: DataFrame, cfg: FraudConfig = Frau
     """
     df = prepare(invoices).where(
         F.coalesce(F.col("total") != 0, F.lit(False)) & F.col("d").isNotNull() & present("vendor")
-    ).withColumn("start", F.substring("vendor", 1, cfg.vendor_chars))
+    ).withColumn("start", F.col("vendor") if cfg.vendor_chars is None else F.substring("vendor", 1, cfg.vendor_chars))
     starts = df.groupBy("start").agg(F.count("*").alias("n")).withColumn("size", F.length("start"))
     pays = transactions.where("vendor is not null and d is not null").select(
         F.lower("vendor").alias("payee"), "d"
@@ -420,7 +417,7 @@ def unpaid_alerts(invoices: DataFrame, transactions: DataFrame, cfg: FraudConfig
             _text("Invoice amount: ", _dollars("total")),
             _text("Invoice date: ", F.col("d").cast("string")),
             _text("Vendor: ", F.col("vendor")),
-            F.lit("No transaction found within 30 days"),
+            F.lit(f"No transaction found within {cfg.payment_days} days"),
         ]),
     )
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from outlay.operators.transactions import REVIEW_BELOW, categorize_keywords
 
-TERMS, MIN_DOCS = 200, 2
+MIN_DOCS = 2
 TREES, DEPTH, MIN_LEAF, SEED = 100, 20, 2, 42
 TEST_SHARE = 0.2
 WORDS = r"\b\w\w+\b"
@@ -37,15 +37,15 @@ def with_text(df: DataFrame) -> DataFrame:
     ).withColumn("amount", F.col("amount").cast("double"))
 
 
-def feature_stages() -> list:
-    """TF-IDF of words and word pairs, and the standardised amount. All is fitted on the
-    training rows only."""
+def feature_stages(terms: int = 200) -> list:
+    """TF-IDF of the ``terms`` most frequent words and word pairs, and the standardised amount.
+    All is fitted on the training rows only."""
     return [
         RegexTokenizer(inputCol="text", outputCol="words", pattern=WORDS, gaps=False),
         StopWordsRemover(inputCol="words", outputCol="kept"),
         NGram(n=2, inputCol="kept", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(kept, pairs) AS terms FROM __THIS__"),
-        CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=TERMS, minDF=MIN_DOCS),
+        CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=terms, minDF=MIN_DOCS),
         IDF(inputCol="counts", outputCol="tfidf"),
         Normalizer(inputCol="tfidf", outputCol="unit"),
         VectorAssembler(inputCols=["amount"], outputCol="amount_vec"),

@@ -9,44 +9,26 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from outlay.session import materialize
 
-BLOCK_ROWS = 100_000
-MIN_BLOCKS, MAX_BLOCKS = 16, 8192
-HEAVY_KEYS = 1000
+BLOCK_ROWS = 1_000_000
+MIN_BLOCKS = 16
 HEAVY_ROWS = 200_000
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 8_000_000
 
 
 def with_block(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame:
-    """Add ``_block``: which quantile slice of ``order`` a row falls into.
+    """Add ``_block``: which range of ``order`` a row falls into. The rows are written once.
 
-    The slices only have to be monotone in ``order``; their sizes need not be exact. The
-    slice is searched in two steps, among every ``step``-th bound and then between two.
-    Without ``blocks`` their number follows the number of rows.
+    Equal values share a block and blocks rise with the order; their sizes need not be exact. Without
+    ``blocks`` their number follows the number of rows, without a limit.
     """
     if blocks is None:
-        blocks = min(max(df.count() // BLOCK_ROWS, MIN_BLOCKS), MAX_BLOCKS)
-    step = max(math.isqrt(blocks), 1)
-    cuts = [i / blocks for i in range(1, blocks)]
-    sketch = F.percentile_approx(order, cuts, blocks * 20)
-    bounds = df.agg(F.struct(sketch.alias("all"), F.filter(sketch, lambda _, i: i % step == step - 1).alias("some")).alias("b")).scalar()
-
-    def below(array: str) -> Column:
-        return F.size(F.filter(array, lambda b: b < F.col(order)))
-
-    at = (F.col("_coarse") * step).cast("int")
-    return (
-        df.withColumn("_some", bounds["some"])
-        .withColumn("_coarse", below("_some"))
-        .withColumn("_fine", F.slice(bounds["all"], at + 1, F.lit(step)))
-        .withColumn("_block", at + below("_fine"))
-        .drop("_some", "_coarse", "_fine")
-    )
+        blocks = max(df.count() // BLOCK_ROWS, MIN_BLOCKS)
+    ranged = df.drop("_block").repartitionByRange(blocks, order)
+    return materialize(ranged.withColumn("_block", F.spark_partition_id()), "blocks")
 
 
 def running_before(
@@ -109,30 +91,31 @@ def lookup(
     spread: list[str],
     how: str = "inner",
     heavy_rows: int = HEAVY_ROWS,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join ``fact`` with the usually much smaller ``dim``; ``weight`` = fact rows of the key.
 
     The dim is written once, because it is read for its size, for its heavy keys and for the
-    join. A dim counted as small is broadcast, and the fact rows are not shuffled. Else a key
-    with more than a thousandth of the rows is heavy. At most ``HEAVY_KEYS`` keys can be, so
-    their list has a fixed bound and is broadcast; their fact rows are spread over salts by a
-    hash of ``spread`` and their dim rows are repeated per salt.
+    join. A dim of few bytes is broadcast, and the fact rows are not shuffled. Else the fact rows of a
+    key with more than ``heavy_rows`` are spread over salts, a fixed number of rows to each, by a
+    hash of ``spread``, and its dim rows are repeated per salt. The list of heavy keys is
+    broadcast as long as it is small, too.
     """
     dim = materialize(dim, "lookup")
+    bytes_ = F.sum(F.length(F.to_json(F.struct(*dim.columns))))
     size = dim.agg(
-        F.count("*").alias("n"), F.sum(weight).alias("total"), F.max(weight).alias("largest")
+        F.coalesce(bytes_, F.lit(0)).alias("bytes"), F.max(weight).alias("largest"), F.count_if(F.col(weight) > heavy_rows).alias("heavy")
     ).first()
-    if size.n <= broadcast_rows:
+    if size.bytes <= broadcast_bytes:
         return fact.join(F.broadcast(dim), keys, how)
-    share = max(size.total / HEAVY_KEYS, float(heavy_rows))
-    if size.largest <= share:
+    if size.largest <= heavy_rows:
         return fact.join(dim, keys, how)
-    salts = F.when(F.col(weight) > share, F.ceil(F.col(weight) / share)).otherwise(1).cast("int")
+    salts = F.when(F.col(weight) > heavy_rows, F.ceil(F.col(weight) / heavy_rows)).otherwise(1).cast("int")
     salted = dim.withColumn("_salts", salts)
     heavy = salted.where("_salts > 1").groupBy(*keys).agg(F.max("_salts").alias("_n"))
+    heavy = F.broadcast(heavy) if size.heavy * 100 <= BROADCAST_BYTES else heavy
     left = (
-        fact.join(F.broadcast(heavy), keys, "left")
+        fact.join(heavy, keys, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_n", F.lit(1))).cast("int"))
         .drop("_n")
     )

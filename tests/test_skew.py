@@ -30,12 +30,12 @@ def test_row_index_follows_the_order(spark):
 def test_lookup_salts_heavy_keys_without_losing_rows(spark):
     fact = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"), "id")
     dim = fact.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.length("k"))
-    out = skew.lookup(fact, dim, ["k"], "n", ["id"], heavy_rows=100, broadcast_rows=0)
+    out = skew.lookup(fact, dim, ["k"], "n", ["id"], heavy_rows=100, broadcast_bytes=-1)
     assert out.count() == 3000 and out.select("id").distinct().count() == 3000
     assert out.where("v <> length(k)").count() == 0
     small = skew.lookup(fact, dim, ["k"], "n", ["id"])
     assert small.exceptAll(out.select(small.columns)).count() == 0
-    few = skew.lookup(fact, dim.where("k <> 'hot'"), ["k"], "n", ["id"], heavy_rows=100, broadcast_rows=0, how="left")
+    few = skew.lookup(fact, dim.where("k <> 'hot'"), ["k"], "n", ["id"], heavy_rows=100, broadcast_bytes=-1, how="left")
     assert few.count() == 3000 and few.where("v is null").count() == 2000
 
 
