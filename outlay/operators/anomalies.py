@@ -281,14 +281,14 @@ def _judge(df: DataFrame, cfg: AnomalyConfig) -> DataFrame:
     }
     reasons = {
         "global_outlier": F.concat(
-            F.lit("Amount "), fixed("global_z", 1), F.lit("x above global average")
+            fixed("global_z", 1), F.lit(" deviations above all charges")
         ),
         "category_outlier": F.concat(
-            F.lit("Amount "), fixed("category_z", 1), F.lit("x higher than category average")
+            fixed("category_z", 1), F.lit(" deviations above its category")
         ),
-        "historical_outlier": F.lit("Amount 3x higher than historical average for this vendor"),
-        "duplicate": F.lit("Potential duplicate transaction detected"),
-        "frequency_spike": F.lit("Unusual transaction frequency from this vendor"),
+        "historical_outlier": F.lit(f"More than {cfg.historical_factor:g} times what the vendor usually charges"),
+        "duplicate": F.lit("Nearly the same charge on the same day"),
+        "frequency_spike": F.lit("Many more charges on this day than usual"),
     }
     points = sum((F.when(hit, POINTS[name]).otherwise(0) for name, hit in hits.items()), F.lit(0))
     flags = F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in hits.items()]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, DateType, DoubleType, FloatType, MapType, StructType, TimestampNTZType, TimestampType
 
 from outlay.functions.text import strip
 from outlay.operators.skew import row_index
@@ -164,33 +165,44 @@ def page(
     limit: int = 50,
     category: str | None = None,
     anomaly: bool | None = None,
+    after: int | None = None,
 ) -> DataFrame:
-    """One page of the filtered table by id, with the total rows and pages on each row."""
+    """One page of the filtered table in input order (``seq``), with the total rows and pages on each row.
+
+    ``after``, the last ``seq`` of the page before, makes a deep page as cheap as the first; without
+    it the rows ahead of the page are counted off.
+    """
     if category is not None:
         df = df.where(F.col("category") == category)
     if anomaly is not None:
         df = df.where(F.col("is_anomaly") == anomaly)
     total = df.agg(F.count("*")).scalar()
+    rest = df.orderBy("seq").offset((page_no - 1) * limit) if after is None else df.where(F.col("seq") > after).orderBy("seq")
     return (
-        df.orderBy("id")
-        .offset((page_no - 1) * limit)
-        .limit(limit)
+        rest.limit(limit)
         .withColumn("total_count", total)
         .withColumn("total_pages", F.ceil(F.col("total_count") / F.lit(limit)))
     )
 
 
 def records(df: DataFrame) -> DataFrame:
-    """Each row as one JSON text: NaN becomes null, dates ``yyyy-MM-dd``, nulls are kept."""
-    fields = []
-    for field in df.schema.fields:
-        col = F.col(field.name)
-        kind = field.dataType.typeName()
-        if kind in ("double", "float"):
-            col = F.when(~F.isnan(col), col)
-        elif kind in ("date", "timestamp", "timestamp_ntz"):
-            col = F.date_format(col, "yyyy-MM-dd")
-        fields.append(col.alias(field.name))
+    """Each row as one JSON text: NaN becomes null, dates ``yyyy-MM-dd``, nulls are kept, at any depth."""
+
+    def safe(col: Column, kind: DataType) -> Column:
+        if isinstance(kind, StructType):
+            inner = F.struct(*[safe(col[f.name], f.dataType).alias(f.name) for f in kind.fields])
+            return F.when(col.isNotNull(), inner)
+        if isinstance(kind, ArrayType):
+            return F.transform(col, lambda x: safe(x, kind.elementType))
+        if isinstance(kind, MapType):
+            return F.transform_values(col, lambda _, v: safe(v, kind.valueType))
+        if isinstance(kind, (DoubleType, FloatType)):
+            return F.when(~F.isnan(col), col)
+        if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+            return F.date_format(col, "yyyy-MM-dd")
+        return col
+
+    fields = [safe(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]
     return df.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("record"))
 
 

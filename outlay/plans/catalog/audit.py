@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from outlay.operators import audit as U, fraud as R, transactions as T
-from outlay.plans.catalog.fraud import ALERT_CTE, alert_table, invoices
-from outlay.plans.catalog.matching import matches_of, sides
+from outlay.plans.catalog.fraud import ALERT_CTE, CALC, COLS, ITEMS, LOWC, MISSING, ROUND, TEN, alert_table, invoices
+from outlay.plans.catalog.matching import MATCHED, matches_of, sides
 from outlay.plans.fixtures import load, view, with_views
 from outlay.plans.registry import query
 from outlay.session import scratch_path
@@ -39,22 +39,26 @@ def written_log(spark, sf):
 )
 def scan_transactions(spark, sf):
     path = scratch_path(spark, "csv")
-    view(spark, sf, "v_raw").drop("seq").write.option("header", True).option("ignoreTrailingWhiteSpace", False).option(
-        "ignoreLeadingWhiteSpace", False
-    ).csv(path)
+    rows = view(spark, sf, "v_raw")
+    for odd in (False, True):  # files with two orders of the columns
+        names = [c for c in rows.columns if c != "seq"]
+        part = rows.where((F.col("seq") % 2 == 1) == odd).select(*(names[::-1] if odd else names))
+        part.write.mode("append").option("header", True).option("ignoreTrailingWhiteSpace", False).option(
+            "ignoreLeadingWhiteSpace", False
+        ).csv(path)
     rows = files.read_transactions(spark, path)
     return rows.select(
         "date", "vendor", F.round(T.number("amount"), 2).alias("amount"), F.coalesce(F.col("amount") == "n/a", F.lit(False)).alias("is_text"), "description"
     )
 
 
-@query("select cast(doc_id as varchar) as doc_id, length(text) as n_chars, sha256(text) as file_hash from documents")
+@query("select length(text) + 1 as n_chars, sha256(text || chr(10)) as file_hash from documents")
 def scan_invoice_text(spark, sf):
+    # One file per document, named by Spark and ended by a line feed.
     path = scratch_path(spark, "texts")
-    docs = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    docs.withColumn("type", F.lit("txt")).write.partitionBy("type").parquet(path)
-    texts = spark.read.parquet(path).where(F.col("type").isin(*files.TEXT_TYPES))
-    return texts.select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("file_hash"))
+    load(spark, sf, "documents").select("text").write.option("maxRecordsPerFile", 1).text(path)
+    texts = files.read_invoice_texts(spark, path)
+    return texts.select(F.length("text").alias("n_chars"), "file_hash")
 
 
 @query(
@@ -86,13 +90,15 @@ def audit_roundtrip(spark, sf):
     )
 
 
-@query(with_views(f"select entry_id, event_type, details, status from v_audit where {DAYS} union all select 'export', 'export', '', 'success'", "v_audit"))
+@query(with_views(f"select entry_id, event_type, details, status, timestamp from v_audit where {DAYS} union all select 'export', 'export', '', 'success', null", "v_audit"))
 def audit_export(spark, sf):
     path = scratch_path(spark, "export")
     done = sinks.export_audit(U.search(audit_log(spark, sf), START, END), path, "csv")
     back = spark.read.option("header", True).option("escape", '"').csv(path)
-    return back.select("entry_id", "event_type", "details", "status").unionByName(
-        done.select(F.lit("export").alias("entry_id"), "event_type", F.lit("").alias("details"), "status")
+    at = F.to_timestamp("timestamp", files.TIME_FORMAT).cast("timestamp_ntz").alias("timestamp")
+    none = F.lit(None).cast("timestamp_ntz").alias("timestamp")
+    return back.select("entry_id", "event_type", "details", "status", at).unionByName(
+        done.select(F.lit("export").alias("entry_id"), "event_type", F.lit("").alias("details"), "status", none)
     )
 
 
@@ -119,9 +125,18 @@ def compliance_summary(spark, sf):
     return U.compliance_summary(audit_log(spark, sf), START, END, alert_type="error")
 
 
-@query(with_views(f"select event_type, event_type as label, count(*) as n from v_audit where {DAYS} group by event_type", "v_audit"))
+LABELLED = "case event_type when 'error' then 'fraud_alert' when 'purchase' then 'invoice_approved' else event_type end"
+
+
+@query(
+    with_views(
+        f"""select {LABELLED} as event_type, case event_type when 'error' then 'Fraud alert triggered' when 'purchase' then 'Invoice approved for payment'
+ else event_type end as label, count(*) as n from v_audit where {DAYS} group by all""",
+        "v_audit",
+    )
+)
 def events_by_type(spark, sf):
-    return U.events_by_type(audit_log(spark, sf), START, END)
+    return U.events_by_type(audit_log(spark, sf).withColumn("event_type", F.expr(LABELLED)), START, END)
 
 
 @query(with_views(f"select user_id, count(*) as n from v_audit where {DAYS} group by user_id", "v_audit"))
@@ -162,7 +177,24 @@ def audit_modifications(spark, sf):
     return log.select("invoice_id", F.get_json_object("details", "$.field_name").alias("field_name"))
 
 
-@query()
+DOCUMENT_RISK = f"""dal as ({' union all '.join(f'select {COLS} from ({p})' for p in (ROUND, CALC, ITEMS, LOWC, MISSING))}),
+decided as (select i.invoice_id, least(coalesce(sum(case severity when 'critical' then 40 when 'high' then 25 else 10 end * dal.confidence * occurrences), 0), 100) as risk
+ from v_inv i left join dal using (invoice_id) group by i.invoice_id)"""
+
+
+@query(
+    with_views(
+        f"""with recursive {MATCHED}, {ALERT_CTE}, {DOCUMENT_RISK}
+select 'invoice_upload' as event_type, invoice_id, null as transaction_id, 'system' as user_id, 'Uploaded invoice: ' || invoice_id || '.txt' as action, 'success' as status, 64 as id_length from v_inv
+union all select 'invoice_processed', invoice_id, null, 'system', 'Invoice processed by OCR', 'success', 64 from v_inv
+union all select 'invoice_matched', invoice_id, transaction_id, 'system', printf('Invoice matched to transaction (score: %.2f%%)', score * 100), 'success', 64 from m
+union all select 'fraud_alert', invoice_id, null, 'system', 'Fraud alert: ' || alert_type, 'pending', 64 from al
+union all select case when risk < 75 then 'invoice_approved' else 'invoice_rejected' end, invoice_id, null, 'auditor',
+ case when risk < 75 then 'Invoice approved' else 'Invoice rejected' end, 'success', 64 from decided""",
+        "v_inv",
+        "v_bank",
+    )
+)
 def audit_events(spark, sf):
     inv, bank = sides(spark, sf)
     at = F.lit("2024-02-01 12:00:00")
@@ -182,8 +214,15 @@ def audit_events(spark, sf):
     for more in (
         U.processing_events(inv.withColumn("parser_used", F.lit("intelligent")), at),
         U.match_events(matches_of(inv, bank), at),
-        U.alert_events(R.alerts(inv, bank), at),
+        U.alert_events(R.alerts(inv, bank, TEN), at),
         U.approval_events(decided, at),
     ):
         log = log.unionByName(more)
-    return log.select("entry_id", "event_type", "invoice_id", "transaction_id", "user_id", "action", "status")
+    return log.select(
+        "event_type", "invoice_id", "transaction_id", "user_id", "action", "status", F.length("entry_id").alias("id_length")
+    )
+
+
+@query(with_views("select invoice_id, count(*) as n_events, count(distinct event_type) as n_types from v_audit group by invoice_id", "v_audit"))
+def events_per_invoice(spark, sf):
+    return U.events_per_invoice(audit_log(spark, sf))

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from outlay.config import FraudConfig
 from outlay.operators import fraud as R, transactions as T
 from outlay.plans.fixtures import view, with_views
 from outlay.plans.registry import query
 from outlay.session import materialize
 
 
+# Payments are looked for by the first ten characters of the vendor.
+TEN = FraudConfig(vendor_chars=10)
+
+
 def invoices(spark, sf):
     return view(spark, sf, "v_inv")
 
@@ -168,14 +173,14 @@ def fraud_amount_anomaly(spark, sf):
 
 @query(_sql(UNPAID))
 def fraud_no_transaction(spark, sf):
-    return _ids(R.unpaid_alerts(invoices(spark, sf), view(spark, sf, "v_bank")))
+    return _ids(R.unpaid_alerts(invoices(spark, sf), view(spark, sf, "v_bank"), TEN))
 
 
 ALL = (DUP, NEAR, ROUND, CALC, ITEMS, format_sql("v_inv"), AMOUNT, LOWC, MISSING, UNPAID)
 
 
 def alert_table(spark, sf):
-    return R.alerts(materialize(invoices(spark, sf), "invoices"), view(spark, sf, "v_bank"))
+    return R.alerts(materialize(invoices(spark, sf), "invoices"), view(spark, sf, "v_bank"), TEN)
 
 
 @query(_sql(*ALL))
@@ -183,7 +188,11 @@ def fraud_alerts(spark, sf):
     return _ids(alert_table(spark, sf))
 
 
-ALERT_CTE = "al as (" + " union all ".join(f"select {COLS} from ({p})" for p in ALL) + ")"
+def alert_cte(*parts: str) -> str:
+    return "al as (" + " union all ".join(f"select {COLS} from ({p})" for p in parts) + ")"
+
+
+ALERT_CTE = alert_cte(*ALL)
 RISK = f"""{ALERT_CTE}, per as (select invoice_id, sum(case severity when 'critical' then 40 when 'high' then 25 else 10 end * confidence * occurrences) as points,
  sum(occurrences) as n, sum(occurrences) filter (severity = 'critical') as nc, sum(occurrences) filter (severity = 'high') as nh from al group by invoice_id),
 risk as (select i.invoice_id, i.vendor, i.total, round(least(coalesce(points, 0), 100), 4) as risk_score, coalesce(n, 0) as alert_count,
@@ -202,7 +211,7 @@ from risk""",
 )
 def fraud_risk(spark, sf):
     table = materialize(invoices(spark, sf), "invoices")
-    return R.risk(table, R.alerts(table, view(spark, sf, "v_bank"))).select(
+    return R.risk(table, R.alerts(table, view(spark, sf, "v_bank"), TEN)).select(
         "invoice_id",
         F.round("risk_score", 4).alias("risk_score"),
         "alert_count",

@@ -226,16 +226,16 @@ def anomalies(spark, sf):
 
 @query(
     with_views(
-        f"""with {SCORED}, f as (select * from scored where category = 'purchase' and anomaly_score >= 5)
+        f"""with {SCORED}, f as (select * replace ('txn_' || case when n < 1000 then lpad(cast(n as varchar), 3, '0') else cast(n as varchar) end as id)
+  from (select *, row_number() over (order by seq) - 1 as n from scored) where category = 'purchase' and anomaly_score >= 5)
 select id, vendor, round(amount, 2) as amount, anomaly_score, (select count(*) from f) as total_count,
- ceil((select count(*) from f) / 20.0) as total_pages from (select * from f order by id limit 20 offset 20)""".replace(
-            "f as (select * from scored", "pf as (select * from scored"
-        ).replace("from f)", "from pf)").replace("from f order", "from pf order"),
+ ceil((select count(*) from f) / 20.0) as total_pages from (select * from f order by seq limit 20 offset 20)""".replace(", f as (select * replace", ", pf as (select * replace").replace("from f)", "from pf)").replace("from f order", "from pf order"),
         "v_txn",
     )
 )
 def transactions_page(spark, sf):
-    return T.page(scored_table(spark, sf), page_no=2, limit=20, category="purchase", anomaly=True).select(
+    rows = T.assign_ids(scored_table(spark, sf).drop("id"), "seq")
+    return T.page(rows, page_no=2, limit=20, category="purchase", anomaly=True).select(
         "id",
         "vendor",
         F.round("amount", 2).alias("amount"),
@@ -247,12 +247,18 @@ def transactions_page(spark, sf):
 
 @query(
     with_views(
-        "select id, vendor, strftime(d, '%Y-%m-%d') as date, hour, round(amount, 2) as amount from v_txn", "v_txn"
+        """select id, vendor, strftime(d, '%Y-%m-%d') as date, hour, round(amount, 2) as amount,
+ case when seq % 3 = 0 then null else round(amount, 2) end as nested, strftime(d, '%Y-%m-%d') as nested_date from v_txn""",
+        "v_txn",
     )
 )
 def serialize_records(spark, sf):
-    out = T.records(view(spark, sf, "v_txn").select("id", "vendor", "d", "hour", "amount"))
+    odd = F.when(F.col("seq") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("amount"))
+    parts = F.array(F.struct(odd.alias("x"), F.col("d").alias("on")))
+    out = T.records(view(spark, sf, "v_txn").select("id", "vendor", "d", "hour", "amount", parts.alias("parts")))
     return out.select(
+        F.round(F.get_json_object("record", "$.parts[0].x").cast("double"), 2).alias("nested"),
+        F.get_json_object("record", "$.parts[0].on").alias("nested_date"),
         F.get_json_object("record", "$.id").alias("id"),
         F.get_json_object("record", "$.vendor").alias("vendor"),
         F.get_json_object("record", "$.d").alias("date"),

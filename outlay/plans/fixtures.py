@@ -40,10 +40,10 @@ select o.o_orderkey as k, o.o_orderkey * 10 as seq, lower(concat(n.n_name, ' ',
  case when o.o_orderkey % 97 = 0 then null else concat('INV-', lpad(cast(o.o_orderkey as string), 9, '0')) end as invoice_number,
  cast(o.o_orderdate as date) as d, l.sub as subtotal, l.tax as tax, l.sub as items_sum,
  case when o.o_orderkey % 40 = 0 then round((l.sub + l.tax) / 100) * 100
-  when o.o_orderkey % 50 = 1 then round((l.sub + l.tax) * 1.1, 2) else round(l.sub + l.tax, 2) end as total,
+  when o.o_orderkey % 50 = 1 then round((l.sub + l.tax) * 1.1 + 0.0001, 2) else round(l.sub + l.tax, 2) end as total,
  (o.o_orderkey * 37 % 100) / 100.0 as confidence
  from orders o join customer c on c.c_custkey = o.o_custkey join nation n on n.n_nationkey = c.c_nationkey
- join (select l_orderkey, round(sum(l_extendedprice), 2) as sub, round(sum(l_extendedprice * l_tax), 2) as tax
+ left join (select l_orderkey, round(sum(l_extendedprice), 2) as sub, round(sum(l_extendedprice * l_tax) + 0.00001, 2) as tax
   from lineitem group by l_orderkey) l on l.l_orderkey = o.o_orderkey""",
     "v_inv": """
 select concat('inv', cast(k as string)) as invoice_id, seq, vendor, invoice_number, d, subtotal, tax,
@@ -53,9 +53,9 @@ select concat('inv', cast(k as string)) as invoice_id, seq, vendor, invoice_numb
     "v_bank": """
 select seq, concat('txn_', cast(k as string)) as id,
  case when k % 3 = 0 then vendor when k % 3 = 1 then substring(vendor, 1, length(vendor) - 3) else 'misc payee' end as vendor,
- round(total * (1 + (k % 8) * 0.015), 2) as amount, d + cast(k % 9 as int) as d,
+ round(total * (1 + (k % 8) * 0.015) + 0.000001, 2) as amount, d + cast(case when k % 10 = 0 then 60 else k % 9 end as int) as d,
  case when k % 4 = 0 then 'Software' else 'Travel' end as category
- from v_inv0 where k % 10 <> 0""",
+ from v_inv0""",
     "v_audit": """
 select cast(event_id as string) as entry_id, ts as timestamp, cast(ts as date) as event_date, event_type,
  concat('user', cast(user_id as string)) as user_id, concat('inv', cast(event_id % 500 as string)) as invoice_id,
@@ -68,7 +68,8 @@ select k, row_number() over (partition by k order by partkey, quantity, price) a
   floor(l_extendedprice / l_quantity) + 0.25 as unit_price from lineitem where l_quantity > 0) l
  join part on p_partkey = partkey""",
     "v_doc": """
-select i.k, i.vendor, i.invoice_number, i.d, s.subtotal, round(s.subtotal * 0.05 + 0.0001, 2) as tax,
+select i.k, case when i.k % 8 = 5 then concat(i.vendor, ' international procurement and logistics services') else i.vendor end as vendor,
+ i.invoice_number, i.d, case when i.d between date '1990-01-03' and date '2000-01-01' then i.d end as read_d, s.subtotal, round(s.subtotal * 0.05 + 0.0001, 2) as tax,
  round(s.subtotal + round(s.subtotal * 0.05 + 0.0001, 2), 2) as total, s.n_items
  from v_inv0 i join (select k, round(sum(line_total), 2) as subtotal, count(*) as n_items from v_lines group by k) s
  on s.k = i.k""",
@@ -109,6 +110,7 @@ def with_views(sql: str, *names: str) -> str:
     """Oracle SQL: the views as common table expressions in front of ``sql``."""
     ctes = ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in _order(names))
     rest = sql.strip()
-    if rest.lower().startswith("with "):
-        return f"with {ctes},\n{rest[5:]}"
+    for start in ("with recursive ", "with "):
+        if rest.lower().startswith(start):
+            return f"with recursive {ctes},\n{rest[len(start):]}"
     return f"with {ctes}\n{rest}"

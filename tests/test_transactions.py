@@ -151,3 +151,15 @@ def test_actions_and_decisions(spark):
     assert done["act_002"].status == "pending" and done["act_002"].rejected == "not auto-executable"
     tagged = C.tag_transactions(scored, C.apply_decisions(acts, decisions)).where(F.size("tags") > 0)
     assert [r.id for r in tagged.collect()] == ["t63"]
+
+
+def test_records_clean_nested_values(spark):
+    df = spark.sql("select struct(double('nan') as x, array(double('nan'), 1.5D) as y) as s, map('k', date'2024-01-02') as m, cast(null as struct<z: double>) as n")
+    assert T.records(df).first().record == '{"s":{"x":null,"y":[null,1.5]},"m":{"k":"2024-01-02"},"n":null}'
+
+
+def test_pages_follow_the_input_order(spark):
+    df = T.assign_ids(spark.range(1100).selectExpr("id as seq", "'a' as category", "true as is_anomaly"), "seq")
+    page = T.page(df, page_no=3).collect()
+    assert [r.seq for r in page] == list(range(100, 150)) and page[0].id == "txn_100"
+    assert [r.seq for r in T.page(df, after=1049).collect()] == list(range(1050, 1100))
