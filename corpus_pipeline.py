@@ -29,7 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = materialize(ngram_jaccard_join(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     once = docs.join(found.where("n = 1").select("doc_id"), "doc_id", "left_semi")
     often = docs.join(found.where("n > 1").select("doc_id"), "doc_id", "left_semi")
-    first = often.withColumn("_row", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("_row = 1")
+    place = F.row_number().over(W.partitionBy("doc.doc_id").orderBy("doc.text")).alias("place")
+    first = often.select(F.struct(*docs.columns).alias("doc")).select("doc", place).where("place = 1").select("doc.*")
     return once.select(*docs.columns).union(first.select(*docs.columns)).union(docs.where("doc_id is null").select(*docs.columns))
 
 

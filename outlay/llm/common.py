@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,17 @@ from outlay.session import scratch_path
 SLICE_BYTES = 2_000_000
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    On a cluster whose machines have no such folder the package is installed or sent along instead.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 class Scratch:
     """Tables that several steps of one operator read, in the folder all executors share.
 
@@ -23,6 +35,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.name = spark, name
+        workers_find_package(spark)
         self._paths: dict[int, str] = {}
 
     def write(self, df: DataFrame) -> DataFrame:

@@ -171,17 +171,18 @@ def mixed_texts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     print_ = F.md5(F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(docs.columns)]), {"ignoreNullFields": "false"}))
-    rows = scratch.write(docs.select("source", print_.alias("print"), word_count("text").alias("size")))
+    packed = docs.select(print_.alias("print"), F.struct(*docs.columns).alias("doc"))
+    rows = scratch.write(docs.select(F.col("source").cast("string").alias("source"), print_.alias("print"), word_count("text").alias("size")))
     laid, mix = mix_blocks(rows, ["print"], scratch, block_words)
     runs = mix.groupBy("sid", "start", "turn").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
     runs = laid.where("start is not null").join(runs, ["sid", "start"]).select("print", "size", "turn", "runs")
     runs = scratch.write(runs)
-    texts = docs.withColumn("print", print_).dropDuplicates(["print"]).join(runs, "print")
-    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
+    texts = packed.dropDuplicates(["print"]).join(runs, "print")
+    words = F.regexp_extract_all("doc.text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
     run = F.transform("runs", lambda r: F.array_join(F.slice(words, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")), ""))
     whole = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"]) == F.col("size")
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(run, ""))
-    out = texts.withColumn("text", text)
+    texts = texts.select("doc", F.when(whole, F.col("doc.text")).otherwise(F.array_join(run, "")).alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return texts.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

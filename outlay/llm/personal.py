@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from outlay.llm.common import text_slices
+from outlay.llm.common import text_slices, workers_find_package
 from outlay.llm.crf import BUCKETS, Chain, hashed, train
 from outlay.llm.spans import DDL, Span, ordered, overlaps, span_lists
 
@@ -278,6 +278,7 @@ def find_personal(docs: DataFrame, table: str = LABELLED) -> DataFrame:
                     cache.clear()
                 yield pa.RecordBatch.from_arrays([ids, span_lists(personal_spans(texts.to_pylist(), model, cache))], names=["doc_id", "spans"])
 
+    workers_find_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(found, f"doc_id long, spans {DDL}")
 
@@ -313,6 +314,7 @@ def mask_personal(docs: DataFrame, table: str = LABELLED) -> DataFrame:
             texts = pa.array([None if n else t for t, n in zip(done, null, strict=True)], pa.string())
             yield batch.set_column(at, "text", texts)
 
+    workers_find_package(docs.sparkSession)
     out = docs.withColumn("text", F.col("text").cast("string"))
     out = out.mapInArrow(cleaned, out.schema)
     if "n_chars" in docs.columns:

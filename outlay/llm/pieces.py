@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from outlay.llm.common import text_slices
+from outlay.llm.common import text_slices, workers_find_package
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -348,6 +348,7 @@ def encode_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:
     on their own, without a shuffle.
     """
     vocabulary = read_vocabulary(model)
+    workers_find_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the pieces of one model
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,6 +365,7 @@ def encode_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 def decode_pieces(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """``(doc_id, text)`` per row of ``encoded`` (``doc_id``, ``ids``); null ids give a null text."""
+    workers_find_package(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(model))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,6 +383,7 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """``(doc_id, n_ids, ids_sha256, same)`` per row: the number of ids, the sha256 of the ids as
     little-endian 32-bit numbers, and whether decoding them gives the text back, with null as empty
     and the model's space sign read as a space."""
+    workers_find_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model))
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from outlay.llm.common import text_slices
+from outlay.llm.common import text_slices, workers_find_package
 from outlay.llm.spans import DDL, Span, ordered, overlaps, span_lists
 
 BASE = ("assign", "access", "hex")
@@ -128,5 +128,6 @@ def scan_secrets(docs: DataFrame, allow: Sequence[str] = ALLOWED) -> DataFrame:
                 rows = [secret_spans(t, allowed) for t in texts.to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids, span_lists(rows)], names=["doc_id", "spans"])
 
+    workers_find_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(scanned, f"doc_id long, spans {DDL}")
