@@ -51,8 +51,11 @@ def sections(spark, sf):
     return E.with_sections(documents(spark, sf))
 
 
+def as_of():
+    return F.lit("2000-01-01").cast("date")
+
+
 DOC = "v_doc"
-AS_OF = F.lit("2000-01-01").cast("date")
 
 
 @query(with_views("select k as doc_id, 6 + n_items + case when invoice_number is null then 0 else 1 end as n_lines from v_doc", DOC))
@@ -84,7 +87,7 @@ def extract_invoice_number(spark, sf):
 
 @query(with_views("select k as doc_id, read_d as d, read_d as fallback_date from v_doc", DOC))
 def extract_date(spark, sf):
-    rows = E.with_fallback(E.with_header_fields(sections(spark, sf), AS_OF), AS_OF)
+    rows = E.with_fallback(E.with_header_fields(sections(spark, sf), as_of()), as_of())
     return rows.select("doc_id", "d", F.col("fb_d").alias("fallback_date"))
 
 
@@ -132,7 +135,7 @@ from v_doc""",
     )
 )
 def extract_confidence(spark, sf):
-    return E.parse_layout(documents(spark, sf), AS_OF).select("doc_id", F.round("confidence", 6).alias("confidence"))
+    return E.parse_layout(documents(spark, sf), as_of()).select("doc_id", F.round("confidence", 6).alias("confidence"))
 
 
 @query(
@@ -185,6 +188,6 @@ def align_invoice_year(spark, sf):
     )
 )
 def extract_invoice(spark, sf):
-    return E.extract_invoices(documents(spark, sf), AS_OF).select(
+    return E.extract_invoices(documents(spark, sf), as_of()).select(
         "doc_id", "vendor", "invoice_number", "d", "total", "subtotal", "tax", "n_items", "parser_used"
     )
