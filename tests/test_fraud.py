@@ -7,6 +7,7 @@ import statistics
 
 import pytest
 
+from outlay.config import FraudConfig
 from outlay.operators import fraud as R
 
 DAY = dt.date(2024, 1, 1)
@@ -103,11 +104,12 @@ def test_unpaid_equals_the_loop(spark):
     pays = [(rnd.choice(names + [None]), DAY + dt.timedelta(days=rnd.randrange(300))) for _ in range(25)]
     df = spark.createDataFrame(rows, SCHEMA)
     txn = spark.createDataFrame(pays, "vendor string, d date")
-    want = {
-        r[0] for r in rows
-        if r[2] and not any(v and r[2][:10] in v and abs((d - r[4]).days) <= 30 for v, d in pays)
-    }
-    assert {r.invoice_id for r in R.unpaid(df, txn).collect()} == want
+    for chars in (10, None):
+        want = {
+            r[0] for r in rows
+            if r[2] and not any(v and r[2][:chars] in v and abs((d - r[4]).days) <= 30 for v, d in pays)
+        }
+        assert {r.invoice_id for r in R.unpaid(df, txn, FraudConfig(vendor_chars=chars)).collect()} == want
 
 
 def test_invoice_format(spark):
