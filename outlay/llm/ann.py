@@ -23,10 +23,10 @@ from outlay.llm.common import Scratch
 #: Rows that the tree is fitted on, and queries that are answered exactly to calibrate the visits.
 SAMPLE_ROWS = 20_000
 CALIBRATION = 128
-BRANCHES, LEAF_ROWS = 8, 300
+BRANCHES, LEAF_ROWS = 8, 1000
 TARGET = 0.96
 #: Most rows, and most queries, of one block.
-BLOCK = 4096
+BLOCK = 2048
 _LISTED = pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64()), ("leaf", pa.int64())]))
 
 
@@ -140,29 +140,43 @@ def best_bins(tree: Tree, queries: np.ndarray) -> Iterator[Iterator[int]]:
     return (walk(d) for d in far)
 
 
-def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products of rows, added up component by component, so that equal rows give equal sums."""
-    total = np.zeros(len(x))
+def _products(x: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the rows ``at`` (a row of indexes per query), added up component by component,
+    so that equal rows give equal sums."""
+    total = np.zeros(at.shape)
     for d in range(x.shape[1]):
-        total += x[:, d] * q[d]
+        total += x[at, d] * q[:, d : d + 1]
     return total
 
 
 def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per query the ids and inner products of its ``k`` best rows, ties to smaller ids.
 
-    A matrix product finds all rows near the k-th best; these are scored again one by one.
+    A matrix product finds the best rows; these are scored again one by one. Where more than ``k``
+    rows come near the k-th best, all of them are.
     """
     rough = q @ x.T
     rough[q_ids[:, None] == ids[None, :]] = -np.inf
     room = 1e-9 * (1 + np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1])
+    plain, top = np.zeros(len(q), bool), np.zeros((len(q), 0), np.int64)
+    score = np.zeros(top.shape)
+    if len(x) > k:
+        top = np.argpartition(rough, len(x) - k, axis=1)[:, len(x) - k :]
+        kth = np.take_along_axis(rough, top, 1).min(1)
+        plain = (kth > -np.inf) & ((rough >= kth[:, None] - room).sum(1) == k)
+        score = _products(x, top, q)
+        best = np.lexsort((ids[top], -score))
+        top, score = np.take_along_axis(top, best, 1), np.take_along_axis(score, best, 1)
     for i in range(len(q)):
+        if plain[i]:
+            yield ids[top[i]], score[i]
+            continue
         r = rough[i]
         have = int((r > -np.inf).sum())
         at = np.flatnonzero(r > -np.inf) if have <= k else np.flatnonzero(r >= np.partition(r, len(r) - k)[len(r) - k] - room)
-        score = _products(x[at], q[i])
-        best = np.lexsort((ids[at], -score))[:k]
-        yield ids[at][best], score[best]
+        own = _products(x, at[None, :], q[i : i + 1])[0]
+        best = np.lexsort((ids[at], -own))[:k]
+        yield ids[at][best], own[best]
 
 
 def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
