@@ -34,6 +34,8 @@ from outlay.llm.shingles import shingle_sets
 SLACK = 0.08
 #: Similarity in hundredths.
 PERCENT = 80
+#: So many ids at most are broadcast, to fetch their texts without shuffling all texts.
+BROADCAST_IDS = 1_000_000
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -84,13 +86,16 @@ def _shared_by_two(rows: DataFrame) -> DataFrame:
     return rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs of classes ``(a, b)`` whose whole sets are similar."""
-    left = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    overlap = F.size(F.array_intersect("sa", "sb"))
-    return both.where(overlap * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+def _verified(pairs: DataFrame, shared: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Those pairs of classes ``(a, b)`` whose whole sets are similar.
+
+    ``shared`` has the size of each set and its shingles that some other class has; no others can be
+    common. Pairs are written first: mostly they are few, and the sets need not move to meet them.
+    """
+    sides = scratch.write(pairs).withColumn("cid", F.explode(F.array("a", "b")))
+    both = sides.join(shared.select("cid", "n", "shingles"), "cid").groupBy("a", "b").agg(F.sum("n").alias("n"), F.collect_list("shingles").alias("s"))
+    overlap = F.size(F.array_intersect(F.get("s", F.lit(0)), F.get("s", F.lit(1))))
+    return both.where(overlap * (100 + percent) >= F.col("n") * percent).select("a", "b")
 
 
 def _can_reach(percent: int) -> Column:
@@ -111,8 +116,9 @@ def _links(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
         .withColumn("m", F.size("s").cast("long"))
         .where(F.col("m") >= _overlap("n", percent))
     )
+    held = scratch.write(per_class.select("cid", "n", "m", F.col("s")["shingle"].alias("shingles")))
     length = (F.col("m") - _overlap("n", percent) + 1).cast("int")
-    prefixes = scratch.write(per_class.select("cid", "n", "m", F.slice("s", F.lit(1), length)["shingle"].alias("prefix")))
+    prefixes = held.select("cid", "n", "m", F.slice("shingles", F.lit(1), length).alias("prefix"))
     central = F.min(F.struct((1 - F.col("m") / F.col("n")).alias("own"), "cid"))
     groups = scratch.write(
         prefixes.groupBy("n", "prefix").agg(F.min("cid").alias("gid"), F.max("m").alias("m"), central.alias("c"))
@@ -137,7 +143,7 @@ def _links(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     )
     own = groups.select("gid", F.col("c.cid").alias("b"))
     pairs = members.join(votes.union(own), "gid").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
-    links = [scratch.write(_verified(pairs, sets, percent))]
+    links = [scratch.write(_verified(pairs, held, scratch, percent))]
 
     def state() -> tuple[DataFrame, DataFrame]:
         """Members with their component so far, and index rows of groups with the range of it."""
@@ -158,7 +164,7 @@ def _links(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     near = near.withColumn("y", F.when(F.col("x.part") == F.col("y.part"), F.col("z")).otherwise(F.col("y")))
     pairs = near.where(reach & F.expr("x.gid <> y.gid")).select("gid", F.col("y.lead").alias("b"), F.col("y.part").alias("other")).distinct()
     pairs = own.join(pairs, "gid").where("part <> other").select(F.col("cid").alias("a"), "b").distinct()
-    links.append(scratch.write(_verified(pairs, sets, percent)))
+    links.append(scratch.write(_verified(pairs, held, scratch, percent)))
 
     # last round: all pairs that are still apart; one of both is outside the shingle's most common part
     own, entries = state()
@@ -177,7 +183,7 @@ def _links(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     b = own.select(F.col("gid").alias("gb"), F.col("cid").alias("b"), F.col("part").alias("pb"))
     pairs = group_pairs.union(inside).distinct().join(a, "ga").join(b, "gb").where("pa <> pb")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links.append(scratch.write(_verified(pairs, sets, percent)))
+    links.append(scratch.write(_verified(pairs, held, scratch, percent)))
     return links[0].union(links[1]).union(links[2])
 
 
@@ -207,9 +213,14 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     names = scratch.write(classes.select("cid", "rep"))
     scratch.drop(shared, classes)
     # whole sets of the classes left, from the text of one document each
-    wanted = alive.select(F.col("rep").alias("doc_id")).distinct()
-    whole = docs.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, None), _SETS)
-    sets = scratch.write(whole.join(alive.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]).select("cid", "n", "shingles"))
+    few = F.broadcast if alive.count() <= BROADCAST_IDS else (lambda df: df)
+    wanted = alive.select(F.col("rep").alias("doc_id"))
+    whole = docs.join(few(wanted.distinct()), "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, None), _SETS)
+    whole = whole.join(few(alive.select("cid")), "cid", "left_semi")
+    often = rows.join(few(wanted.distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not often.isEmpty():  # rows that repeat an id may bring a set twice
+        whole = whole.dropDuplicates(["cid"])
+    sets = scratch.write(whole.select("cid", "n", "shingles"))
     part = components(_links(sets, scratch, percent)).withColumnRenamed("node", "cid")
     linked = scratch.write(part.join(names, "cid"))
     least = scratch.write(linked.groupBy("component").agg(F.min("rep").alias("least")))
