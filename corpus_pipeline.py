@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from outlay.llm.mixing import mixed_texts
-from outlay.llm.ngram_join import ngram_jaccard_join
+from outlay.llm.ngram_join import BROADCAST_IDS, ngram_jaccard_join
 from outlay.llm.personal import mask_personal
 from outlay.llm.pieces import encode_pieces
 from outlay.llm.quality import keep_quality
@@ -27,8 +27,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that repeat a kept ``doc_id`` the one with the least text stays. Rows without ``doc_id`` stay.
     """
     found = materialize(ngram_jaccard_join(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    once = docs.join(found.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    often = docs.join(found.where("n > 1").select("doc_id"), "doc_id", "left_semi")
+    few = F.broadcast if found.count() <= BROADCAST_IDS else (lambda df: df)  # else the texts move to meet the ids
+    once = docs.join(few(found.where("n = 1").select("doc_id")), "doc_id", "left_semi")
+    often = docs.join(few(found.where("n > 1").select("doc_id")), "doc_id", "left_semi")
     place = F.row_number().over(W.partitionBy("doc.doc_id").orderBy("doc.text")).alias("place")
     first = often.select(F.struct(*docs.columns).alias("doc")).select("doc", place).where("place = 1").select("doc.*")
     return once.select(*docs.columns).union(first.select(*docs.columns)).union(docs.where("doc_id is null").select(*docs.columns))
