@@ -30,7 +30,9 @@ _SPACE = "▁"
 #: No piece has a space after another character or holds a line end, so texts fall apart here.
 _WORD = re.compile(r" *[^ \n]+| +|\n")
 #: Words that a task remembers with their ids, and characters up to which words are relaxed together.
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 200_000
+#: Bytes of text encoded at a time; more of them share the search for pieces.
+_SLICE = 2_000_000
 _LONG = 96
 _GAP, _OTHER = 1, 2
 
@@ -354,7 +356,7 @@ def encode_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model, shared.value)
         for batch in batches:
-            for ids, texts in text_slices(batch.column(0), batch.column(1).fill_null("")):
+            for ids, texts in text_slices(batch.column(0), batch.column(1).fill_null(""), _SLICE):
                 flat, counts = encoder.encode(texts.to_pylist())
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
@@ -392,7 +394,7 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
         vocabulary = shared.value
         encoder = encoder_of(model, vocabulary)
         for batch in batches:
-            for ids, texts in text_slices(batch.column(0), batch.column(1).fill_null("")):
+            for ids, texts in text_slices(batch.column(0), batch.column(1).fill_null(""), _SLICE):
                 texts = texts.to_pylist()
                 flat, counts = encoder.encode(texts)
                 parts = np.split(flat, np.cumsum(counts)[:-1])

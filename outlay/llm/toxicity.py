@@ -31,7 +31,7 @@ _PLAIN_SHARE = 0.08
 #: Token probabilities below do not add to a document.
 _FLOOR = 0.02
 _WORDS_KEPT = 400_000
-_SLICE = 6_000_000
+_SLICE = 4_000_000
 _TOKEN = re.compile(r"\S+")
 
 
