@@ -1,10 +1,14 @@
-"""Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
+"""Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables, without a loss.
 
 Unit vectors are centred, rotated and cut at the sample median of each axis into 64-bit codes; the
 rotation is learned so that the cut loses least. The code's four 16-bit parts index four
-tables. Two codes within 11 bits differ by at most two bits in one part, so each vector is
-filed under its part and all its one-bit neighbours, and such a pair meets under a common key.
-The pair is taken at one of its meetings only, and kept by the cosine of the original vectors.
+tables. A vector is filed under its parts and asks for every part that a vector near enough can have:
+where two codes differ, the distances of both vectors from the cut add up to no more than their
+projections are apart. The squares of these gaps have a bound T that follows from the cosine, so in
+one of the parts they have T / 4, and there the own distances of one of the two vectors have T / 8
+at most. That one flips the bits, in every way within T / 8, and finds the other, whatever the data.
+Vectors with more than ``ASKED`` ways in a part are near too many cuts for the tables; they are
+compared with all vectors of their label in blocks. Pairs are kept by the cosine of the original vectors.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ from outlay.llm.common import Scratch, components
 #: Rows that the rotation is fitted on.
 SAMPLE_ROWS = 20_000
 COSINE = 0.98
-#: Codes at most so far apart are compared; up to 11 none that meets the bound is missed.
-RADIUS = 13
 BITS, PARTS = 64, 4
+#: Keys of a table that one vector asks for at most; vectors with more are compared in blocks of about ``BLOCK`` rows.
+ASKED, BLOCK = 512, 512
 _ROUNDS = 40
+#: Rows of a lookup table up to which it is broadcast, and pairs whose cosines are worked out at once.
+_FEW, _STEP = 100_000, 65_536
 
 
 def learn_rotation(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,11 +55,44 @@ def learn_rotation(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return projection, np.median(x @ projection, axis=0) if len(x) else np.zeros(BITS)
 
 
-def codes(x: np.ndarray, projection: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    bits = (x @ projection >= cut).astype(np.uint64)
+def _codes(gaps: np.ndarray) -> np.ndarray:
+    bits = (gaps >= 0).astype(np.uint64)
     return (bits << np.arange(BITS, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
 
 
+def codes(x: np.ndarray, projection: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    return _codes(x @ projection - cut)
+
+
+def asked_flips(gaps: np.ndarray, limit: float) -> tuple[np.ndarray, list[np.ndarray | None]]:
+    """Per row how many bits a near vector's code may differ in, and the flips to ask for.
+
+    ``gaps`` are the signed distances from the cuts, ``limit`` bounds the squared distance of the
+    projections of a near pair. Of two near rows one at least has the other within its number, and
+    among its flips, which are ``part << 16 | bits``. A row has None where a part has too many.
+    """
+    square = gaps**2
+    reach = (np.sort(square, axis=1).cumsum(1) <= limit / 2).sum(1)
+    crowded, rows, flips = np.zeros(len(gaps), bool), [], []
+    width = BITS // PARTS
+    for part in range(PARTS):
+        own = square[:, part * width : (part + 1) * width]
+        row, mask, load = np.arange(len(gaps)), np.full(len(gaps), part << width), np.zeros(len(gaps))
+        for bit in range(width):
+            more = load + own[row, bit]
+            fits = more <= limit / (2 * PARTS)
+            row, mask, load = np.append(row, row[fits]), np.append(mask, mask[fits] | 1 << bit), np.append(load, more[fits])
+            full = np.bincount(row, minlength=len(gaps)) > ASKED
+            if full.any():
+                crowded |= full
+                row, mask, load = row[~full[row]], mask[~full[row]], load[~full[row]]
+        rows.append(row)
+        flips.append(mask)
+    rows, flips = np.concatenate(rows), np.concatenate(flips).astype(np.int32)
+    flips = np.split(flips[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(gaps)).cumsum()[:-1])
+    return reach, [None if c else f for c, f in zip(crowded, flips, strict=True)]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -75,27 +114,59 @@ def _part(code: str, part: str) -> str:
 
 
 def candidate_pairs(coded: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of ``coded`` (``cid``, ``label``, ``code``) with equal labels within ``RADIUS`` that meet in a table."""
-    flips = F.array(F.lit(0), *[F.lit(1 << i) for i in range(16)])
-    filed = coded.select("cid", "label", "code", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
-    filed = filed.select("cid", "label", "code", "part", F.explode(flips).alias("flip"))
-    filed = filed.withColumn("key", F.expr(f"{_part('code', 'part')} ^ flip")).drop("flip")
-    both = filed.alias("x").join(filed.alias("y"), F.expr("x.label = y.label and x.part = y.part and x.key = y.key and x.cid < y.cid and bit_count(x.code ^ y.code) <= %d" % RADIUS))
-    apart = _part("(x.code ^ y.code)", "x.part")
-    low = f"({apart} & -{apart})"
-    here = _part("x.code", "x.part")
-    place = (
-        f"case bit_count({apart}) when 0 then {here} when 1 then least({here}, {here} ^ {apart}) "
-        f"else least({here} ^ {low}, {here} ^ {apart} ^ {low}) end"
-    )
-    first = " and ".join(f"(x.part <= {p} or bit_count({_part('(x.code ^ y.code)', str(p))}) > 2)" for p in range(PARTS - 1))
-    return both.where(f"x.key = {place} and {first}").select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    """Pairs ``(a, b)`` of ``coded`` (``cid``, ``label``, ``code``, ``reach``, ``flips``) with equal labels that meet in a table.
+
+    Every near pair is among them but those of rows without ``flips``.
+    """
+    here = coded.where("flips is not null")
+    place = F.expr(f"part << 16 | {_part('code', 'part')}").alias("place")
+    filed = here.select("cid", "label", "code", "reach", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part")).select("cid", "label", "code", "reach", place)
+    asks = here.select("cid", "label", "code", "reach", F.explode("flips").alias("flip")).withColumn("part", F.expr("shiftright(flip, 16)"))
+    asks = asks.select("cid", "label", "code", "reach", F.expr("flip & 65535 <> 0").alias("other"), F.expr(f"cast((part << 16 | {_part('code', 'part')}) ^ (flip & 65535) as long)").alias("place"))
+    both = asks.alias("x").join(filed.alias("y"), F.expr(
+        "x.label = y.label and x.place = y.place and x.cid <> y.cid and bit_count(x.code ^ y.code) <= greatest(x.reach, y.reach)"
+    ))
+    # codes with an equal part meet in the first one, once; others may meet several times
+    same = [f"({_part('(x.code ^ y.code)', str(p))} = 0)" for p in range(PARTS)]
+    at = f"case {' '.join(f'when {s} then {p}' for p, s in enumerate(same))} else -1 end"
+    both = both.where(f"if(x.other, {at} = -1, x.cid < y.cid and shiftright(x.place, 16) = {at})")
+    return both.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+
+
+def crowded_links(crowded: DataFrame, classes: DataFrame, wide: int, cosine: float) -> DataFrame:
+    """Links ``(a, b)`` of the ``crowded`` rows (``cid``, ``label``) with all of ``classes``, compared block by block."""
+    per = classes.groupBy("label").agg(F.count("*").alias("n")).join(crowded.groupBy("label").agg(F.count("*").alias("k")), "label")
+    per = Scratch(classes.sparkSession, "hamming-labels").write(per.select("label", F.expr(f"ceil(n / {BLOCK})").alias("ys"), F.expr(f"ceil(k / {BLOCK})").alias("xs")))
+    per = F.broadcast(per) if per.count() <= _FEW else per
+    every = classes.select("cid", "label", "embedding").join(crowded.select("cid", F.lit(True).alias("crowd")), "cid", "left")
+    every = every.join(per, "label").withColumn("crowd", F.expr("crowd is not null"))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        df = df.withColumn(own, F.expr(f"pmod(xxhash64(cid), {own}s)"))
+        df = df.select("label", own, F.explode(F.expr(f"sequence(0l, {other}s - 1)")).alias(other), "cid", "crowd", "embedding")
+        return df.toDF(*df.columns).groupBy("label", "x", "y")
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if len(left) and len(right):
+            x, y = vectors(left["embedding"], wide)[0], vectors(right["embedding"], wide)[0]
+            x_ids, y_ids, crowd = left["cid"].to_numpy(), right["cid"].to_numpy(), right["crowd"].to_numpy()
+            # a pair of two crowded rows comes from both sides
+            i, j = np.nonzero((_unit(x) @ _unit(y).T >= cosine - 1e-9) & (~crowd[None, :] | (x_ids[:, None] < y_ids[None, :])))
+            for at in range(0, len(i), _STEP):
+                p, q = i[at : at + _STEP], j[at : at + _STEP]
+                near = cosines(x[p], y[q]) >= cosine
+                a.append(np.minimum(x_ids[p], y_ids[q])[near])
+                b.append(np.maximum(x_ids[p], y_ids[q])[near])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return dealt(every.where("crowd"), "x", "y").cogroup(dealt(every, "y", "x")).applyInArrow(met, "a long, b long")
 
 
 def dedup_embeddings(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` per row of ``embeddings`` (``vec_id``, ``embedding``, ``label``).
 
-    Vectors link where labels are equal and not null and the cosine reaches ``cosine``. Equal vectors
+    Vectors link where labels are equal and not null and the cosine reaches ``cosine``; all links are found. Equal vectors
     are compared once and counted as often as they have ids. Vectors that are null, zero or hold null
     or non-finite components, vectors without label, and rows without id link with nothing.
     Shorter vectors count as padded with zeros. Rows that repeat an id and vector are one vector and
@@ -123,15 +194,22 @@ def dedup_embeddings(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame
     sample = vectors(chosen.select("cid", "embedding").orderBy("cid").toArrow()["embedding"], wide)[0]
     projection, cut = learn_rotation(_unit(sample) if len(sample) else np.zeros((0, wide)))
 
+    # squared distance of unit vectors at the cosine, stretched by the projection; the rest is rounding
+    limit = (2 - 2 * cosine) * np.linalg.norm(projection, 2) ** 2 * (1 + 1e-9) + 1e-12
+
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                code = codes(_unit(vectors(batch.column(1), wide)[0]), projection, cut)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code)], names=["cid", "code"])
+                gaps = _unit(vectors(batch.column(2), wide)[0]) @ projection - cut
+                reach, flips = asked_flips(gaps, limit)
+                found = [pa.array(_codes(gaps)), pa.array(reach, pa.int32()), pa.array(flips, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=["cid", "label", "code", "reach", "flips"])
 
-    code = classes.select("cid", "embedding").mapInArrow(coded, "cid long, code long")
-    code = scratch.write(code.join(classes.select("cid", "label"), "cid"))
+    code = classes.select("cid", "label", "embedding")
+    code = scratch.write(code.mapInArrow(coded, f"cid long, label {code.schema['label'].dataType.simpleString()}, code long, reach int, flips array<int>"))
     pairs = scratch.write(candidate_pairs(code))
+    crowded = scratch.write(code.where("flips is null").select("cid", "label"))
+    scratch.drop(code)
     sides = pairs.join(classes.select(F.col("cid").alias("a"), F.col("embedding").alias("x")), "a")
     sides = sides.join(classes.select(F.col("cid").alias("b"), F.col("embedding").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -141,7 +219,10 @@ def dedup_embeddings(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame
                 near = cosines(vectors(batch.column(2), wide)[0], vectors(batch.column(3), wide)[0]) >= cosine
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], names=["a", "b"])
 
-    links = scratch.write(sides.mapInArrow(reranked, "a long, b long"))
+    links = sides.mapInArrow(reranked, "a long, b long")
+    if not crowded.isEmpty():
+        links = links.union(crowded_links(crowded, classes, wide, cosine))
+    links = scratch.write(links)
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     weight = classes.select(F.col("cid").alias("b"), "w")
     linked = scratch.write(both.join(weight, "b").groupBy("a").agg(F.sum("w").alias("k")))

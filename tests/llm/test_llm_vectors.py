@@ -134,3 +134,26 @@ def test_codes_are_balanced_and_near_for_near_vectors():
     y = x + np.random.default_rng(6).normal(size=x.shape) * 0.02
     apart = [int(a ^ b).bit_count() if (a ^ b) >= 0 else 64 - int(~(a ^ b)).bit_count() for a, b in zip(codes(x, projection, cut).tolist(), codes(y, projection, cut).tolist(), strict=True)]
     assert np.mean(apart) < 8
+
+
+def offset_pairs(d: int) -> np.ndarray:
+    """Vectors around a common direction and in one hot cluster, each with a partner at cosine just over 0.98."""
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(500, d))
+    x[:250] += 2.0
+    x[250:350] = x[250] + rng.normal(size=(100, d)) * 0.4
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=x.shape)
+    off -= (off * x).sum(1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    return np.concatenate([x, 0.9801 * x + np.sqrt(1 - 0.9801**2) * off])
+
+
+@pytest.mark.parametrize(("d", "asked"), [(64, 512), (64, 40), (10, 512)])
+def test_no_link_is_lost_at_the_bound(spark, monkeypatch, d, asked):
+    from outlay.llm import hamming_dedup
+
+    monkeypatch.setattr(hamming_dedup, "ASKED", asked)
+    monkeypatch.setattr(hamming_dedup, "BLOCK", 100)
+    rows = [(i, v.astype(np.float32).tolist(), i % 500 // 400) for i, v in enumerate(offset_pairs(d))]
+    assert sorted(map(tuple, dedup_embeddings(frame(spark, rows)).collect())) == plain_links(rows)
