@@ -2,8 +2,8 @@
 
 Base patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers. A chain
 trained on a small labelled table of sentences reads the shapes of words (letters, digits and marks,
-never the word itself) and tags what is written in other ways; runs it decodes outside of base spans
-are added. A word without a digit or ``@`` has the state "other" by definition, so a sequence
+never the word itself) and tags what is written in other ways; runs it decodes are added without
+the words that meet base spans. A word without a digit or ``@`` has the state "other" by definition, so a sequence
 is decoded in the stretches between such words, with the same result as the whole.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from outlay.llm.common import text_slices, workers_find_package
 from outlay.llm.crf import BUCKETS, Chain, hashed, train
-from outlay.llm.spans import DDL, Span, ordered, overlaps, span_lists
+from outlay.llm.spans import DDL, Span, covered, ordered, outside, span_lists
 
 BASE = ("email", "ip", "card", "phone")
 STATES = ("other", "crf_email", "crf_ip", "crf_card", "crf_phone", "crf_id")
@@ -233,19 +233,21 @@ def decode(model: PersonalModel, docs: list[list[str]], cache: dict[str, np.ndar
 
 
 def _added(words: list[re.Match[str]], states: np.ndarray, known: list[Span], text: str) -> Iterator[Span]:
-    """Runs of one state as spans without marks at their ends, outside of known spans."""
+    """Runs of one state as spans without marks at their ends; words that meet a known span end a run."""
+    at = covered(known)
+    free = [bool(s) and [*outside(*w.span(), *at)] == [w.span()] for w, s in zip(words, states, strict=True)]
     i = 0
     while i < len(words):
         j = i + 1
-        if states[i]:
-            while j < len(words) and states[j] == states[i]:
+        if free[i]:
+            while j < len(words) and free[j] and states[j] == states[i]:
                 j += 1
             a, b = words[i].start(), words[j - 1].end()
             while a < b and text[a] in _EDGES and text[a] != "(":
                 a += 1
             while a < b and text[b - 1] in _EDGES:
                 b -= 1
-            if a < b and not overlaps((a, b), known):
+            if a < b:
                 yield STATES[states[i]], a, b
         i = j
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
@@ -20,6 +23,30 @@ def span_lists(rows: list[list[Span]]) -> pa.Array:
     return pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in row] for row in rows], TYPE)
 
 
+def covered(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover together, in order."""
+    starts, ends = [], []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def outside(a: int, b: int, starts: list[int], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """The parts of ``a`` to ``b`` outside of the ``covered`` stretches."""
+    i = bisect_right(ends, a)
+    while i < len(starts) and starts[i] < b:
+        if a < starts[i]:
+            yield a, starts[i]
+        a = ends[i]
+        i += 1
+    if a < b:
+        yield a, b
+
+
 def overlaps(span: tuple[int, int], others: list[Span]) -> bool:
     return any(a < span[1] and span[0] < b for _, a, b in others)
 

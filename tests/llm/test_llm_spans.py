@@ -140,6 +140,21 @@ def test_labelled_table_is_learned():
     assert kinds == [("crf_phone", "(404) 555-0123"), ("crf_phone", "404-555-0188"), ("crf_id", "219-09-9999")]
 
 
+def test_lists_that_mix_base_and_other_items():
+    model = personal.fit_personal()
+
+    def listed(text):
+        return [(k, text[a:b]) for k, a, b in personal.personal_spans([text], model, {})[0]]
+
+    assert listed("+1 415 555 2671, 212-555-0143") == [("phone", "+1 415 555 2671"), ("crf_phone", "212-555-0143")]
+    assert listed("212-555-0143, +1 415 555 2671, 030/5550199")[:2] == [("crf_phone", "212-555-0143"), ("phone", "+1 415 555 2671")]
+    # states as a chain may decode them: what is left on both sides of the base span
+    text = "2001:db8::1, 192.0.2.17, 2001:db8::ff00:42:8329; 2001:db8::2."
+    words = list(re.finditer(r"\S+", text))
+    added = personal._added(words, np.full(4, 2), personal.base_spans(text), text)
+    assert [(k, text[a:b]) for k, a, b in added] == [("crf_ip", "2001:db8::1"), ("crf_ip", "2001:db8::ff00:42:8329; 2001:db8::2")]
+
+
 def test_masking(spark):
     rows = [(1, "mail a@b.co now", "en", "s", 15), (2, None, None, None, None), (3, "", "x", "y", 0), (4, "from 10.0.0.1", "x", "y", 13)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
