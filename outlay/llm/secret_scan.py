@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from outlay.llm.common import text_slices, workers_find_package
-from outlay.llm.spans import DDL, Span, ordered, overlaps, span_lists
+from outlay.llm.spans import DDL, Span, covered, ordered, outside, span_lists
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "entropy")
@@ -88,23 +88,30 @@ def _varied(run: str) -> bool:
 
 
 def entropy_spans(text: str, known: list[Span], allowed: re.Pattern[str]) -> list[Span]:
-    """Spans of high entropy outside of the ``known`` ones."""
+    """Spans of high entropy outside of the ``known`` ones: what is left of a candidate there is scanned on its own."""
     found: list[tuple[int, int]] = []
+    at = covered(known)
     for match in _CANDIDATE.finditer(text):
         word = match[0]
         if not _varied(word) or allowed.fullmatch(word):
             continue
-        for _, letters, bound in CLASSES:
-            for run in letters.finditer(word):
-                if _varied(run[0]):
-                    found += [(match.start() + run.start() + a, match.start() + run.start() + b) for a, b in entropy_runs(run[0], bound)]
+        for start, end in outside(*match.span(), *at):
+            rest = text[start:end]
+            # a cut part begins or ends with the mark that joined it
+            if rest != word and (not _varied(rest) or allowed.fullmatch(rest.strip("+/_=-"))):
+                continue
+            for _, letters, bound in CLASSES:
+                for run in letters.finditer(rest):
+                    if _varied(run[0]):
+                        found += [(start + run.start() + a, start + run.start() + b) for a, b in entropy_runs(run[0], bound)]
     merged: list[list[int]] = []
     for a, b in sorted(found):
+        # stretches on both sides of a known span never touch
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
-    return [("entropy", a, b) for a, b in merged if not overlaps((a, b), known)]
+    return [("entropy", a, b) for a, b in merged]
 
 
 def secret_spans(text: str, allowed: re.Pattern[str]) -> list[Span]:

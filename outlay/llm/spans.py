@@ -47,10 +47,6 @@ def outside(a: int, b: int, starts: list[int], ends: list[int]) -> Iterator[tupl
         yield a, b
 
 
-def overlaps(span: tuple[int, int], others: list[Span]) -> bool:
-    return any(a < span[1] and span[0] < b for _, a, b in others)
-
-
 def joined(spans: Column) -> Column:
     """``kind:start:end``, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
