@@ -34,7 +34,7 @@ ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"[0-9_=+/-]+",
     r"[A-Za-z][a-z]*([_/+=-]+[A-Za-z][a-z]*)*[_/+=-]*",
-    r"(?:[A-Za-z0-9]{1,12}[_/=+-]+)+[A-Za-z0-9]{0,12}",
+    r"(?:(?:[a-z]{1,12}|[A-Z][a-z]{1,11}|[0-9]{1,12})[_/=+-]+)+(?:[a-z]{1,12}|[A-Z][a-z]{1,11}|[0-9]{1,12})?",  # words, numbers and dates
     r"sha(?:1|256|384|512)-[A-Za-z0-9+/=]+",
     r".*EXAMPLE.*",
 )

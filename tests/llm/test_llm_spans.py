@@ -111,6 +111,24 @@ def test_secrets_beside_base_spans():
     assert listed(f"{access}/internationalization-of-things") == [("access", access)]
 
 
+def test_grouped_keys_and_base64_are_not_allowed():
+    allowed = re.compile("|".join(f"(?:{a})" for a in secret_scan.ALLOWED))
+    rng = random.Random(9)
+
+    def drawn(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["-".join(drawn(upper, 5) for _ in range(5)) for _ in range(300)]
+    assert not any(allowed.fullmatch(k) for k in keys)
+    # windows with many separators can stay under the bound
+    assert sum(secret_scan.secret_spans(k, allowed) != [] for k in keys) >= 0.7 * len(keys)
+    base64 = [drawn(upper + upper[:26].lower() + "+/", n) for n in (20, 24, 32) for _ in range(500)]
+    assert sum(allowed.fullmatch(b) is not None for b in base64) <= 0.005 * len(base64)
+    for text in ("released-2021-05-12-Annual-report-2020-final", "2021/05/12/some_title-and-more/17", "Chapter-7-and-24-other-notes"):
+        assert secret_scan.secret_spans(text, allowed) == []
+
+
 PERSONAL = [
     "", None, "no data", "a.b+c@mail.example.com, x@y z@w.q", "a@b.c@d.e x@y z.q+1@w-e.co.uk. @a.b a@b a@@b.c.d a@b.c.@d.e", "%@a.b.c@@x@y.z é1@b.cé",
     "1.2.3.4 1.2.3.4.5.6.7.8 256.1.1.1 0255.000.1.01 1.2.3 9999999999.1.1.1", "4556 7375 8689 9855", "4556-7375-8689-9855 5105105105105100 5105105105105101",
