@@ -64,3 +64,12 @@ def test_repeated_ids_in_the_near_duplicate_stage(spark):
     assert out.columns == docs.columns
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "4", "None"]
     assert corpus_pipeline.near_duplicates(spark, docs.where("false"), "").collect() == []
+
+
+def test_rows_that_share_an_id_are_decided_by_their_own_text(spark):
+    copied, other, third = "a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z one two three four"
+    rows = [(1, copied), (2, copied), (2, other), (3, third), (3, other + " v"), (4, third + " v")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string")
+    # 2/copied is a copy of 1; 2/other stays and 3/other is its near copy; 4 is one of 3/third
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, copied), (2, other), (3, third)]
