@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from outlay.llm import ann, hamming_dedup, mixing, ngram_join, personal, pieces, quality, secret_scan, spans, toxicity, url_filter
+from outlay.llm import (
+    ann, chat, hamming_dedup, hard_negatives, mixing, ngram_join, personal, pieces, quality, secret_scan, spans, spelling, toxicity, url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +74,29 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    return hard_negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label), "vec_id % 100 = 0")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.words_of(table(spark, sf_dir, "documents"))
+    return spelling.spelling_variants(spelling.with_slips(runs, 97))
+
+
+#: A conversation whose texts hold the template's control strings.
+ODD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(ODD_TEXT).alias("text"),
+    )
+    return chat.digests(*chat.format_chats(given.union(odd)))
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -209,6 +234,72 @@ union all
 select doc_id, size, words, target, 0 from docs join sources on docs.source is not distinct from sources.source where size = 0
 """
 
+OP11_SQL = """
+with whole as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda v: floor(256 * v::double)) as q
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0
+), scored as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_dot_product(a.q, b.q)::bigint as score
+  from whole a join whole b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), positives as (
+  select anchor_id, id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, id)::int as rank,
+  id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5
+"""
+
+OP12_SQL = f"""
+with recursive crc as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+), runs as (
+  select doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{spelling.RUN}')) as run from documents
+), counted as (select doc_id, run, count(*) as times from runs group by all
+), bytes as (
+  select run, times, hex(encode(concat(doc_id, ':', run))) as x from counted
+), hashed as (
+  select run, times, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint)),
+    lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]))) as h from bytes, crc
+), words as (
+  select case when h % 97 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, times from hashed
+), known as (select word, sum(times)::bigint as n from words where length(word) >= 5 group by word having sum(times) >= 3
+), cuts as (
+  select word, i, left(word, i) || substr(word, i + 2) as rest from (select word, unnest(range(length(word))) as i from known)
+), near as (
+  select a.word, b.word as near from cuts a join cuts b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select word, rest from cuts where rest in (select word from known)
+  union select rest, word from cuts where rest in (select word from known)
+), best as (
+  select near.word, count(*) as n_near, arg_min(near, (-b.n, near)) as form, max(b.n) as form_n
+  from near join known b on b.word = near.near group by near.word
+), forms as (
+  select word, n, coalesce(n_near, 0)::bigint as n_near, case when form_n >= 2 * n then form end as form, case when form_n >= 2 * n then form_n end as form_n
+  from known left join best using (word)
+), chain as (
+  select word, word as root, 0 as step from known union all
+  select chain.word, form, step + 1 from chain join forms on forms.word = root where form is not null
+)
+select word, form, root, n, n_near, form_n from forms join (select word, arg_max(root, step) as root from chain group by word) using (word)
+"""
+
+_ESCAPE = r"regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')"
+
+OP13_SQL = rf"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, unnest([0, 1]), unnest(['user', 'assistant']), '{ODD_TEXT}'
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length('### : </turn>' || chr(10)) + length(regexp_replace(role, '(\\|###|</turn>|: )', '\\\1', 'g')) + length({_ESCAPE}))::bigint as formatted_chars
+from turns group by conv_id
+"""
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, OP1_SQL),
     "op2_url_filters": (op2_url_filters, OP2_SQL),
@@ -220,4 +311,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_pii": (op9_pii, None),
     "op10_mixing_sources": (op10_mixing_sources, OP10_SQL),
+    "op11_hard_negatives": (op11_hard_negatives, OP11_SQL),
+    "op12_spelling_variants": (op12_spelling_variants, OP12_SQL),
+    "op13_chat_formatting": (op13_chat_formatting, OP13_SQL),
 }
