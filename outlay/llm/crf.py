@@ -25,6 +25,15 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - most).sum(axis=axis)) + most.squeeze(axis)
 
 
+#: Weights of paths that differ by less are equal but for the order of additions.
+TIE = 1e-9
+
+
+def _first_best(values: np.ndarray) -> np.ndarray:
+    """Along the second axis the first index whose value is the greatest, or less by a tie."""
+    return (values >= values.max(1, keepdims=True) - TIE).argmax(1)
+
+
 def _places(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, Iterator[int]]:
     """Sequences by falling length, where each starts, and how many reach each place."""
     order = np.argsort(-lengths, kind="stable")
@@ -75,7 +84,7 @@ class Chain:
         return np.exp(np.minimum(ahead + back - np.repeat(total, lengths)[:, None], 0))
 
     def viterbi(self, emit: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The best state of every token; ties go to the smaller state."""
+        """The best state of every token; ties (within ``TIE``) go to the smaller state."""
         best, came = np.empty_like(emit), np.zeros(emit.shape, np.int64)
         order, starts, alive = _places(lengths)
         counts = list(alive)
@@ -85,13 +94,13 @@ class Chain:
                 best[at] = emit[at] + self.first
             else:
                 ways = best[at - 1][:, :, None] + self.move[None]
-                came[at] = ways.argmax(1)
+                came[at] = _first_best(ways)
                 best[at] = emit[at] + ways.max(1)
         state = np.zeros(len(emit), np.int64)
         for t in range(len(counts) - 1, -1, -1):
             n, longer = counts[t], counts[t + 1] if t + 1 < len(counts) else 0
             ends = starts[longer:n] + t
-            state[ends] = (best[ends] + self.last).argmax(1)
+            state[ends] = _first_best(best[ends] + self.last)
             at = starts[:longer] + t
             state[at] = came[at + 1, state[at + 1]]
         return state

@@ -169,8 +169,9 @@ def dedup_embeddings(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame
     Vectors link where labels are equal and not null and the cosine reaches ``cosine``; all links are found. Equal vectors
     are compared once and counted as often as they have ids. Vectors that are null, zero or hold null
     or non-finite components, vectors without label, and rows without id link with nothing.
-    Shorter vectors count as padded with zeros. Rows that repeat an id and vector are one vector and
-    come back as often. Other columns are not read.
+    Shorter vectors count as padded with zeros. Rows that repeat an id, label and vector are one vector and
+    come back as often. Rows that share only the id are vectors of their own, whose links to each other are not counted.
+    Other columns are not read.
     """
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "hamming-dedup")
@@ -232,7 +233,15 @@ def dedup_embeddings(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame
     found = classes.select("cid", "w", "least").join(linked, F.col("cid") == F.col("a"), "left")
     found = found.join(part.join(least, "component").select(F.col("node").alias("cid"), "top"), "cid", "left")
     found = scratch.write(found.select("cid", (F.col("w") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"), F.coalesce("top", "least").alias("component_id")))
-    own = named.select("vec_id", "cid").join(found, "cid").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    own = named.select("vec_id", "cid").join(found, "cid")
+    several = named.groupBy("vec_id").agg(F.countDistinct("cid").alias("n")).where("n > 1").select("vec_id")
+    several = scratch.write(named.join(several, "vec_id", "left_semi").select("vec_id", "cid").distinct())
+    if not several.isEmpty():
+        # links between vectors of one id, per link and never per pair of rows
+        met = both.join(several.select("vec_id", F.col("cid").alias("a")), "a").join(several.select("vec_id", F.col("cid").alias("b")), ["vec_id", "b"])
+        same = met.groupBy("vec_id", F.col("a").alias("cid")).agg(F.count("*").alias("same"))
+        own = own.join(same, ["vec_id", "cid"], "left").withColumn("n_links", F.col("n_links") - F.coalesce("same", F.lit(0)))
+    own = own.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     usable_row = F.coalesce(
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()
         & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0),

@@ -158,17 +158,21 @@ class _Search:
 
     def __init__(self, scratch: Scratch, coded: DataFrame, n: int, wide: int, references: int) -> None:
         self.scratch, self.wide, self.references = scratch, wide, references
-        order = ("cell", "own", "rid")
-        ranged = coded.repartitionByRange(-(-n // BLOCK), *order).withColumn("block", F.spark_partition_id().cast("long"))
-        self.rows = scratch.write(ranged.withColumn("draw", F.expr("pmod(xxhash64(rid, 'draw'), 1073741824)")))
-        anchors = self.rows.where("anchor")
-        self.n_anchors = anchors.count()
-        groups = max(-(-self.n_anchors // GROUP), 1)
-        self.anchors = scratch.write(anchors.drop("block").repartitionByRange(groups, *order).withColumn("chunk", F.spark_partition_id().cast("long")))
+        drawn = coded.withColumn("draw", F.expr("pmod(xxhash64(rid, 'draw'), 1073741824)"))
+        self.rows = self._dealt(drawn, "block", -(-n // BLOCK))
+        anchors = self.rows.where("anchor").drop("block")
+        self.anchors = self._dealt(anchors, "chunk", max(-(-anchors.count() // GROUP), 1))
         self.shares = [1]
         while n > BLOCK * self.shares[-1]:
             self.shares.append(self.shares[-1] * STEP)
 
+    def _dealt(self, df: DataFrame, name: str, parts: int) -> DataFrame:
+        """Rows with ``name``, one of ``parts`` ranges of their order, in as many partitions as the cluster likes."""
+        ranged = df.repartitionByRange(parts, "cell", "own", "rid").withColumn("part", F.spark_partition_id().cast("long"))
+        ranged = self.scratch.write(ranged)
+        last = ranged.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
+        return ranged.withColumn(name, F.expr(f"part * {parts} div {last + 1}")).drop("part")
+
     def best(self, windows: DataFrame, same: bool, k: int) -> DataFrame:
         """``(rid, wid, vec_id, score, place)``: the ``k`` best rows of equal (``same``) or other label in each window
         ``(rid, wid, low, high)`` of scores."""

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from outlay.llm.common import Scratch, components, long_lists, text_slices
 from outlay.llm.shingles import shingle_sets
+from outlay.session import materialize
 
 #: Share of a set by which the prefixes of the screen are longer than they have to be.
 SLACK = 0.08
@@ -228,3 +229,27 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     with_words = rows.where("cid is not null").join(found, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     without = rows.where("cid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return with_words.union(without)
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each component of near-duplicates the document with the smallest ``doc_id``, with all columns.
+
+    A document is a ``doc_id`` with a text (by a 64-bit hash of both): rows that share a ``doc_id`` but not the text
+    are documents of their own, of which one per component stays. Of rows that repeat both the first one by
+    the md5 of all its columns stays, however the rows are dealt out. Rows without ``doc_id`` stay.
+    """
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    part = ngram_jaccard_join(docs.select(key.alias("doc_id"), "text")).where("doc_id is not null")
+    part = part.groupBy(F.col("doc_id").alias("key")).agg(F.first("component_id").alias("component"), F.count("*").alias("n"))
+    named = part.join(docs.select(key.alias("key"), F.col("doc_id").alias("id")), "key")
+    found = named.groupBy("component").agg(F.min(F.struct("id", "key", "n")).alias("least"))
+    found = materialize(found.select("least.key", "least.n"), "kept")
+    few = F.broadcast if found.count() <= BROADCAST_IDS else (lambda df: df)  # else the texts move to meet the ids
+    print_ = F.md5(F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(docs.columns)]), {"ignoreNullFields": "false"}))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key"), print_.alias("print"))
+    once = keyed.join(few(found.where("n = 1").select("key")), "key", "left_semi")
+    often = keyed.join(few(found.where("n > 1").select("key")), "key", "left_semi")
+    first = often.groupBy("key").agg(F.min("print").alias("print"))
+    # rows that are equal in every column are one
+    first = often.join(first, ["key", "print"], "left_semi").dropDuplicates(["key"])
+    return once.select("doc.*").union(first.select("doc.*")).union(docs.where("doc_id is null").select(*docs.columns))

@@ -4,7 +4,8 @@ Base patterns find e-mail addresses, IPv4 addresses, card numbers and phone numb
 trained on a small labelled table of sentences reads the shapes of words (letters, digits and marks,
 never the word itself) and tags what is written in other ways; runs it decodes are added without
 the words that meet base spans. A word without a digit or ``@`` has the state "other" by definition, so a sequence
-is decoded in the stretches between such words, with the same result as the whole.
+is decoded in the stretches between such words, with the same result as the whole: paths whose weights
+differ by no more than rounding are ties, and go to the smaller state.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ KINDS = (*BASE, *STATES[1:])
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*$")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+# a match always ends a run of digits, so none begins inside of one
+_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
@@ -93,6 +95,8 @@ The host [crf_ip 192.0.2.17] did not answer.
 Packets from [crf_ip 203.0.113.250] to [crf_ip 198.51.100.4] were lost.
 Blocked [crf_ip 198.51.100.77:8080] again.
 Address [crf_ip 2001:db8::ff00:42:8329] is new.
+Routes [crf_ip 192.0.2.1 192.0.2.2 192.0.2.2] are down.
+From [crf_ip 10.0.0.1, 10.0.0.1] and [crf_ip 10.0.0.7] only.
 She paid with [crf_card 4556 7375 8689 9855] in May.
 Card [crf_card 4556-7375-8689-9855] has expired.
 The number [crf_card 5105105105105100] was refused.
@@ -105,6 +109,7 @@ Dial [crf_phone +1 (415) 555-2671] now.
 Reach us under [crf_phone 0044 20 7946 0958] daily.
 Her mobile [crf_phone 07700 900123] rang.
 Fax [crf_phone 030/5550199] is off.
+Phones: [crf_phone 212-555-0143, 212-555-0143].
 Numbers [crf_phone 555.010.4477] and [crf_phone 555-010-9981] are wrong.
 His number [crf_id 123-45-6789] leaked.
 Insured as [crf_id 987-65-4321] since then.
@@ -159,12 +164,12 @@ def shape_features(form: str) -> list[str]:
     """Features of a shape: itself, without repeats, its marks, its numbers of digits and letters."""
     short = re.sub(r"(.)\1+", r"\1", form)
     digits, letters = form.count("d"), form.count("a") + form.count("A")
-    groups = "-".join(str(len(g)) for g in re.findall("d+", form)[:8])
+    groups = "-".join(str(len(g)) for g in re.findall("d+", form))
     return [
         "bias",
-        f"shape={form[:40]}",
-        f"short={short[:24]}",
-        f"marks={''.join(sorted(set(form) - set('adA')))[:8]}",
+        f"shape={form}",
+        f"short={short}",
+        f"marks={''.join(sorted(set(form) - set('adA')))}",
         f"digits={min(digits, 20)}",
         f"mixed={digits > 0 and letters > 0}",
         f"letters={min(letters, 3)}",

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from outlay.llm.common import Scratch, text_slices
 from outlay.llm.shingles import WORDS, shingle_sets, text_bytes, word_hashes
 
-#: Most labelled rows that the model is fitted on; beyond it a hash of doc_id chooses.
+#: Labelled rows that the model is fitted on, about; beyond it a hash of doc_id chooses.
 TRAIN_ROWS = 50_000
 FEATURES = 256
 RIDGE = 1e-3
@@ -151,25 +151,31 @@ def fold(doc_id: str) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 5
 
 
-def _sampled(labels: DataFrame) -> DataFrame:
-    """``(doc_id, y, fold)`` of the labels to learn from: about ``TRAIN_ROWS`` of those outside of fold 0."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
-    known = known.where("doc_id is not null and y in (0, 1)").withColumn("fold", fold("doc_id")).where("fold <> 0")
+def label_per_document(labels: DataFrame, column: str) -> DataFrame:
+    """``(doc_id, y)``: one row per document with a label 0 or 1; repeated labels count once, documents with both labels not at all."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y"))
+    both = known.where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z"))
+    return both.where("y = z").select("doc_id", "y")
+
+
+def _sampled(labels: DataFrame, train_rows: int) -> DataFrame:
+    """``(doc_id, y, fold)`` of the labels to learn from: about ``train_rows`` of those outside of fold 0."""
+    known = label_per_document(labels, "quality").select("doc_id", F.col("y").cast("double").alias("y"), fold("doc_id").alias("fold")).where("fold <> 0")
     total = known.count()
-    if total > TRAIN_ROWS:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (TRAIN_ROWS << 30) // total)
+    if total > train_rows:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (train_rows << 30) // total)
     return known
 
 
-def fit_quality(measured: DataFrame, labels: DataFrame) -> QualityModel | None:
+def fit_quality(measured: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel | None:
     """Fit on labelled rows outside of fold 0; None if these rows do not hold both labels.
 
     ``measured`` has ``doc_id`` and ``f``, ``labels`` has ``doc_id`` and ``quality``. Folds 1 to 3 fit the
     ridge, fold 4 the calibration (or the same rows, if either has too few). Null labels do not count.
     """
     scratch = Scratch(measured.sparkSession, "quality-fit")
-    # at most about TRAIN_ROWS ids with a label
-    rows = scratch.write(measured.join(F.broadcast(_sampled(labels)), "doc_id"))
+    # at most about train_rows ids with a label
+    rows = scratch.write(measured.join(F.broadcast(_sampled(labels, train_rows)), "doc_id"))
     seen = {(r.fold, r.y): r.n for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
     if {y for _, y in seen} != {0.0, 1.0}:
         return None
@@ -216,18 +222,18 @@ def fit_quality(measured: DataFrame, labels: DataFrame) -> QualityModel | None:
     return QualityModel(mean, scale, waves, bare.phase, weights, x, isotonic(curve.v.to_numpy(), curve.n.to_numpy()))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` per row of ``docs`` (``doc_id``, ``text``).
 
-    ``labels`` (``doc_id``, ``quality``) teaches through rows outside of fold 0. Scores use nothing but the
-    text. Null and empty texts have zero statistics and get the score of these. Without both labels
+    ``labels`` (``doc_id``, ``quality``) teaches through rows outside of fold 0, about ``train_rows`` of them chosen by hash; repeated
+    labels count once, documents with both labels not at all. Scores use nothing but the text. Null and empty texts have zero statistics and get the score of these. Without both labels
     to learn from all scores are 0.5. Repeated rows come back as often; a row without ``doc_id`` is not
     held out. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     measured = scratch.write(docs.mapInArrow(_measured, "doc_id long, f array<double>"))
-    model = fit_quality(measured, labels)
+    model = fit_quality(measured, labels, train_rows)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +247,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` that are scored ``KEEP_FROM`` or more, with all their columns.
 
     Texts are measured once to fit the model and once more to decide, so they are never shuffled.
@@ -250,10 +256,10 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "quality")
     measured = scratch.write(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(_sampled(labels)), "doc_id", "left_semi")
+        .join(F.broadcast(_sampled(labels, train_rows)), "doc_id", "left_semi")
         .mapInArrow(_measured, "doc_id long, f array<double>")
     )
-    model = fit_quality(measured, labels)
+    model = fit_quality(measured, labels, train_rows)
     if model is None:
         return docs
     at = docs.columns.index("text")

@@ -126,16 +126,16 @@ pages_ as (
       || regexp_extract(url, '^.*?://[^/?#]*([^#]*)', 1, 's') end as node
   from pages
 ), tags as (
-  select host, path, node, unnest(regexp_extract_all(html, '<(?:link|meta)\b[^>]*>', 0, 'is')) as tag from pages_ where node is not null
+  select host, path, node, unnest(regexp_extract_all(html, '<(?:link|meta)\b[^<>]*>', 0, 'is')) as tag from pages_ where node is not null
 ), hrefs as (
   select host, path, node, trim(replace(case
-    when regexp_matches(tag, '^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b', 'is') then concat(
+    when regexp_matches(tag, '^<link\b.*\brel\s*=\s*["'']?[^"''>=]*\bcanonical\b', 'is') then concat(
       regexp_extract(tag, '\bhref\s*=\s*"([^"]*)"', 1, 'is'), regexp_extract(tag, '\bhref\s*=\s*''([^'']*)''', 1, 'is'),
       regexp_extract(tag, '\bhref\s*=\s*([^\s"''>]+)', 1, 'is'))
     when regexp_matches(tag, '^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b', 'is')
       then regexp_extract(tag, '\bcontent\s*=\s*["'']?[\s0-9.]*[;,]\s*url\s*=\s*[''"]?([^"''>]+)', 1, 'is')
     end, '&amp;', '&')) as href from tags
-), targets as (
+), addresses as (
   select node, case
     when regexp_matches(href, '^[a-z][a-z0-9+.-]*://', 'i') then href
     when starts_with(href, '//') then 'x:' || href
@@ -144,6 +144,15 @@ pages_ as (
     when starts_with(href, '?') then 'x://' || host || path || href
     else 'x://' || host || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || href end as url
   from hrefs where href is not null
+), parts as (
+  select node, url, regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') as head, regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') as path,
+    regexp_extract(url, '^.*?://[^/?#]*[^?#]*(.*)$', 1, 's') as rest from addresses
+), folded as (
+  select *, list_reduce(list_prepend([]::varchar[], list_transform(string_split(path, '/')[2:], lambda s: [s])),
+    lambda acc, s: case s[1] when '..' then acc[:greatest(len(acc) - 1, 0)] when '.' then acc else acc || s end) as kept from parts
+), targets as (
+  select node, case when regexp_matches(path, '/\.\.?(/|$)') and length(url) <= 8192 then head || '/' || array_to_string(kept, '/')
+    || case when regexp_matches(path, '/\.\.?$') and len(kept) > 0 then '/' else '' end || rest else url end as url from folded
 ), links as (
   select distinct node as a, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{_UPPER}', '{_LOWER}')
     || regexp_extract(url, '^.*?://[^/?#]*([^#]*)', 1, 's') as b from targets where contains(url, '://')

@@ -29,15 +29,18 @@ WINDOW = 20
 CLASSES = (("hex", re.compile(r"[0-9A-Fa-f]{20,}"), 2.8), ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.75))
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
+_PIECE = r"(?:[a-z]{1,12}|[A-Z][a-z]{1,11}|[A-Za-z][a-z]{2,11}[0-9]{1,4}|[0-9]{1,12})"
 #: Strings that look random and are no secrets: whole candidates that one of these matches.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"[0-9_=+/-]+",
     r"[A-Za-z][a-z]*([_/+=-]+[A-Za-z][a-z]*)*[_/+=-]*",
-    r"(?:(?:[a-z]{1,12}|[A-Z][a-z]{1,11}|[0-9]{1,12})[_/=+-]+)+(?:[a-z]{1,12}|[A-Z][a-z]{1,11}|[0-9]{1,12})?",  # words, numbers and dates
+    rf"(?:{_PIECE}[_/=+-]++)+{_PIECE}?",  # words, numbered words, numbers and dates
     r"sha(?:1|256|384|512)-[A-Za-z0-9+/=]+",
-    r".*EXAMPLE.*",
+    r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",  # the sample key of manuals
 )
+#: What samples in manuals end in, with the characters of a key before it: cut out of a candidate like a base span, the rest is scanned.
+_SAMPLE = re.compile(r"[A-Za-z0-9]{0,13}EXAMPLE(?:KEY)?")
 
 _TERM = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
 
@@ -95,7 +98,10 @@ def entropy_spans(text: str, known: list[Span], allowed: re.Pattern[str]) -> lis
         word = match[0]
         if not _varied(word) or allowed.fullmatch(word):
             continue
-        for start, end in outside(*match.span(), *at):
+        here = at
+        if "EXAMPLE" in word:
+            here = covered([*known, *(("", match.start() + m.start(), match.start() + m.end()) for m in _SAMPLE.finditer(word))])
+        for start, end in outside(*match.span(), *here):
             rest = text[start:end]
             # a cut part begins or ends with the mark that joined it
             if rest != word and (not _varied(rest) or allowed.fullmatch(rest.strip("+/_=-"))):

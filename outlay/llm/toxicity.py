@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from outlay.llm.common import Scratch, text_slices
 from outlay.llm.crf import Chain, hashed, train
-from outlay.llm.quality import fold
+from outlay.llm.quality import fold, label_per_document
 
-#: Labelled documents that the model is fitted on, with the label and without, and their longest text.
+#: Labelled documents that the model is fitted on, with the label and without, and the characters of each that it reads.
 TOXIC_DOCS, CLEAN_DOCS, TRAIN_CHARS = 1000, 2400, 20_000
+#: Most words of a sentence that is chosen to learn from.
+_WORDS_CHOSEN = 200
 _ROUNDS, _PENALTY = 45, 0.05
 #: A key in so large a share of the toxic texts, and in no clean one, marks whether it is needed or not.
 _PLAIN_SHARE = 0.08
@@ -44,6 +46,25 @@ def token_features(token: str) -> list[str]:
     return ["b", f"w{word}", *[f"p{word[:n]}" for n in range(3, 7) if len(word) >= n], *[f"g{word[i : i + 4]}" for i in range(len(word) - 3)]]
 
 
+def sentences_chosen(text: str, most: int) -> str:
+    """The text, or, if it has more than ``most`` characters, sentences chosen by hash that have about as many, in order."""
+    if len(text) <= most:
+        return text
+    parts: list[list[str]] = [[]]
+    for token in _TOKEN.finditer(text):
+        parts[-1].append(token[0])
+        if token[0][-1] in ".!?" or len(parts[-1]) == _WORDS_CHOSEN:
+            parts.append([])
+    sentences = [" ".join(p) for p in parts if p]
+    order = sorted(range(len(sentences)), key=lambda i: zlib.crc32(f"{i} {sentences[i]}".encode("utf-8", "surrogatepass")))
+    chosen, room = [], most
+    for i in order:
+        if len(sentences[i]) <= room:
+            chosen.append(i)
+            room -= len(sentences[i]) + 1
+    return " ".join(sentences[i] for i in sorted(chosen))
+
+
 def _keys(text: str) -> set[str]:
     """What may mark a token: the whole word or how it begins."""
     out = set()
@@ -214,10 +235,14 @@ def fit_toxicity(toxic: list[str], clean: list[str]) -> ToxicModel | None:
     return ToxicModel(model.weights, model.chain, max(float(slope), 0.05), float(offset))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS, train_chars: int = TRAIN_CHARS
+) -> DataFrame:
     """``(doc_id, held_out, score, predicted, spans)`` per row of ``docs`` (``doc_id``, ``text``).
 
-    ``labels`` (``doc_id``, ``toxic``) teaches through rows outside of fold 0, a bounded sample of them.
+    ``labels`` (``doc_id``, ``toxic``) teaches through rows outside of fold 0: about ``toxic_docs`` with the label and
+    ``clean_docs`` without, chosen by hash, and of longer texts than ``train_chars`` sentences of that length in total, chosen by hash.
+    Repeated labels count once, documents with both labels not at all. Scores read whole texts.
     ``spans`` joins ``start:end`` of runs of tokens that are more likely toxic than not. Null and
     empty texts have no token and score as the least evidence does. Without both labels, or without
     anything that tells them apart, all scores are 0. Repeated rows come back as often; a row without
@@ -226,14 +251,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
-    known = known.where("doc_id is not null and y in (0, 1)").where(fold("doc_id") != 0).distinct()
-    known = scratch.write(known)
+    known = scratch.write(label_per_document(labels, "toxic").where(fold("doc_id") != 0))
     seen = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    rate = F.when(F.col("y") == 1, min(1.0, TOXIC_DOCS / max(seen.get(1, 0), 1))).otherwise(min(1.0, CLEAN_DOCS / max(seen.get(0, 0), 1)))
+    rate = F.when(F.col("y") == 1, min(1.0, toxic_docs / max(seen.get(1, 0), 1))).otherwise(min(1.0, clean_docs / max(seen.get(0, 0), 1)))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < rate * (1 << 30))
-    # at most about TOXIC_DOCS + CLEAN_DOCS ids
-    taught = docs.where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").toArrow()
+
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([None if t is None else sentences_chosen(t, train_chars) for t in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2)], names=["doc_id", "text", "y"])
+
+    # at most about toxic_docs + clean_docs ids, each with train_chars of text
+    taught = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(shortened, "doc_id long, text string, y int")
+    taught = taught.where("text is not null").orderBy("doc_id", "text").toArrow()
     pairs = list(zip(taught["text"].to_pylist(), taught["y"].to_pylist(), strict=True))
     model = fit_toxicity([t for t, y in pairs if y == 1], [t for t, y in pairs if y == 0])
 

@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from outlay.llm.common import Scratch, components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-_REFRESH_URL = r"""(?is)\bcontent\s*=\s*["']?[\s0-9.]*[;,]\s*url\s*=\s*['"]?([^"'>]+)"""
+# possessive where two neighbours take the same characters, so that no text is read more than a few times
+_HREF = r"""(?is)\bhref\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_REFRESH_URL = r"""(?is)\bcontent\s*+=\s*+["']?[\s0-9.]*+[;,]\s*+url\s*+=\s*+['"]?([^"'>]+)"""
+#: Longest address whose dot segments are folded; longer ones stay as they are written.
+FOLDED_CHARS = 8192
 
 
 def host_of(url: Column) -> Column:
@@ -34,13 +37,32 @@ def node_of(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(host_of(url), rest))
 
 
+def without_dots(url: Column) -> Column:
+    """The url with ``.`` and ``..`` segments of its path folded, as browsers do: ``..`` drops the segment before it, if there is one.
+
+    Urls without such segments, and of more than ``FOLDED_CHARS`` characters, stay as they are.
+    """
+    head = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    path, rest = path_of(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(.*)$", 1)
+    segments = F.slice(F.split(path, "/"), 2, F.length(path) + 1)
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(
+        segments, none,
+        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.array_append(acc, s)),
+    )
+    # a path that ends in a dot segment names the folder
+    folder = F.when(path.rlike(r"(?s)/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    folded = F.concat(head, F.lit("/"), F.array_join(kept, "/"), folder, rest)
+    return F.when(path.rlike(r"(?s)/\.\.?(/|$)") & (F.length(url) <= FOLDED_CHARS), folded).otherwise(url)
+
+
 def link_address(href: Column, host: Column, path: Column) -> Column:
     """The url that a link on a page leads to, with ``x`` for a scheme it leaves out.
 
-    Null for links that leave the web or stay on the page. Dot segments are not folded.
+    Null for links that leave the web or stay on the page. Dot segments are folded.
     """
     folder = F.regexp_replace(path, "[^/]*$", "")
-    return (
+    return without_dots(
         F.when(href.rlike("(?i)^[a-z][a-z0-9+.-]*://"), href)
         .when(href.startswith("//"), F.concat(F.lit("x:"), href))
         .when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:") | (href == "") | href.startswith("#"), F.lit(None))
@@ -53,15 +75,16 @@ def link_address(href: Column, host: Column, path: Column) -> Column:
 def page_links(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges ``(a, b)`` from canonical links and refresh redirects in the pages' html.
 
+    A tag holds no other ``<``, so that broken html is read in linear time, too.
     Written after each step, so that the patterns of the step before are run once per tag.
     """
-    told = pages.where(F.col("html").rlike(r"(?is)<(?:link|meta)\b[^>]*\b(?:canonical|refresh)\b"))
-    tags = told.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))).alias("tag"))
+    told = pages.where(F.col("html").rlike(r"(?is)<(?:link|meta)\b[^<>]*\b(?:canonical|refresh)\b"))
+    tags = told.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\b[^<>]*>)"), F.lit(1))).alias("tag"))
     tag = F.col("tag")
     href = F.concat(*[F.regexp_extract(tag, _HREF, k) for k in (1, 2, 3)])
     target = (
-        F.when(tag.rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""), href)
-        .when(tag.rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract(tag, _REFRESH_URL, 1))
+        F.when(tag.rlike(r"""(?is)^<link\b.*\brel\s*+=\s*+["']?[^"'>=]*\bcanonical\b"""), href)
+        .when(tag.rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*+=\s*+["']?refresh\b"""), F.regexp_extract(tag, _REFRESH_URL, 1))
     )
     links = scratch.write(tags.select("url", F.trim(F.regexp_replace(target, "(?i)&amp;", "&")).alias("href")))
     address = link_address(F.col("href"), F.col("host"), F.col("path"))

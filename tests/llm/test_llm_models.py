@@ -141,3 +141,62 @@ def test_toxicity_without_both_labels(spark):
     one = spark.createDataFrame([(i, 0) for i in range(5)], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score_toxicity(some, one).collect()} == {0.0}
     assert toxicity.score_toxicity(frame(spark, []), one).collect() == []
+
+
+def test_contradicting_and_repeated_labels(spark):
+    rows = [(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (3, None), (None, 1), (4, 7)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int")
+    assert sorted(map(tuple, quality.label_per_document(labels, "quality").collect())) == [(1, 1), (3, 0)]
+
+
+def test_ridge_scores_equal_a_dense_solution(spark, rated):
+    texts, truth = rated
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, quality int")
+    measured = frame(spark, texts).select("doc_id", "text").mapInArrow(quality._measured, "doc_id long, f array<double>")
+    model = quality.fit_quality(measured, labels)
+    x = quality.statistics(pa.array([t for _, t in texts]))
+    folds = [zlib.crc32(str(i).encode()) % 5 for i in range(900)]
+    first = [i for i in range(900) if folds[i] in (1, 2, 3)]
+    assert np.allclose(model.mean, x[first].mean(0)) and np.allclose(model.scale, np.maximum(x[first].std(0), 1e-6))
+    z, y = model.features(x[first]), np.array([truth[i] for i in first], float)
+    penalty = quality.RIDGE * len(first) / quality.FEATURES
+    dense = np.linalg.lstsq(np.vstack([z, np.sqrt(penalty) * np.eye(z.shape[1])]), np.r_[y, np.zeros(z.shape[1])], rcond=None)[0]
+    assert np.abs(z @ dense - model.raw(x[first])).max() < 1e-5
+
+
+def test_toxic_scores_equal_a_sum_over_all_paths(spark):
+    rng = random.Random(4)
+    model = toxicity.fit_toxicity([toxic(rng) for _ in range(40)], [good(rng) for _ in range(60)])
+    texts = ["", "an er th", "an idiot er. moron", "re! idiot idiot in on st nd", "filth", "an er th re on in st nd at"]
+    got = toxicity.token_chances(model, texts, toxicity._Words(model.weights))
+    for text, chances in zip(texts, got, strict=True):
+        want, sentence_ = [], []
+        for token in text.split():
+            sentence_.append(token)
+            if token[-1] in ".!?" or token is text.split()[-1]:
+                want += _all_paths(model, sentence_)
+                sentence_ = []
+        if sentence_:
+            want += _all_paths(model, sentence_)
+        assert chances.tolist() == pytest.approx(want, abs=1e-9), text
+
+
+def _all_paths(model, tokens):
+    import itertools
+
+    emit = [float(model.weights[toxicity.hashed(toxicity.token_features(t))].sum()) for t in tokens]
+    total, each = 0.0, np.zeros(len(tokens))
+    for path in itertools.product((0, 1), repeat=len(tokens)):
+        score = model.chain.first[path[0]] + model.chain.last[path[-1]] + sum(e for e, s in zip(emit, path, strict=True) if s)
+        weight = np.exp(score + sum(model.chain.move[a, b] for a, b in zip(path, path[1:], strict=False)))
+        total += weight
+        each += weight * np.array(path)
+    return (each / total).tolist()
+
+
+def test_long_texts_teach_by_chosen_sentences():
+    rng = random.Random(6)
+    text = " ".join(sentence(rng) for _ in range(3000)) + " word" * 3000
+    short = toxicity.sentences_chosen(text, 5000)
+    assert 4000 < len(short) <= 5000 and short == toxicity.sentences_chosen(text, 5000)
+    assert toxicity.sentences_chosen("a b.", 5000) == "a b." and toxicity.sentences_chosen("", 10) == ""

@@ -8,7 +8,7 @@ import pytest
 from oracle import compare, connect
 
 import corpus_pipeline
-from outlay.llm.ngram_join import ngram_jaccard_join
+from outlay.llm.ngram_join import keep_one_of_each, ngram_jaccard_join
 from outlay.llm.pieces import MODEL
 from outlay.llm.queries import QUERIES
 from outlay.llm.quality import score_quality
@@ -25,7 +25,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "PII", "mixing sources", "SentencePiece"]
 
 
@@ -66,6 +66,13 @@ def test_repeated_ids_in_the_near_duplicate_stage(spark):
     assert corpus_pipeline.near_duplicates(spark, docs.where("false"), "").collect() == []
 
 
+def test_the_same_row_is_kept_however_rows_are_dealt_out(spark):
+    rows = [(i % 3, "a b c d e f" if i % 3 else "q r s t u v w", f"src{i}") for i in range(24)] + [(7, "g h i j k l", None), (7, "g h i j k l", "x"), (7, "g h i j k l", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {tuple(sorted(map(str, keep_one_of_each(docs.repartition(n)).collect()))) for n in (1, 3, 7)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 3
+
+
 def test_rows_that_share_an_id_are_decided_by_their_own_text(spark):
     copied, other, third = "a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z one two three four"
     rows = [(1, copied), (2, copied), (2, other), (3, third), (3, other + " v"), (4, third + " v")]

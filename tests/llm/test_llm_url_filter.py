@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import time
 
 import duckdb
+from pyspark.sql import functions as F
 
 from outlay.llm.queries import OP2_SQL, URL_RULES
-from outlay.llm.url_filter import filter_urls
+from outlay.llm.url_filter import filter_urls, link_address
 
 RULES = "host string, path string, verdict string"
 PAGES = "page_id long, url string, html string, host string, rule string, node string"
@@ -20,6 +22,8 @@ HTML = {
     7: '<link rel="canonical" href="mailto:x@y.z"><link rel=canonical href=next/page>',
     8: '<link rel="canonical" href="//example.org/es/9">',
     9: '<link rel="canonical" href="#top">',
+    21: '<link rel="canonical" href="../../es/./x/../9?a=/../b"><link rel=canonical',
+    22: '<link rel="canonical" href="..">',
 }
 URLS = [
     (1, "http://a.example.net/x"),
@@ -43,6 +47,8 @@ URLS = [
     (19, "https://h.example.net/plain"),
     (20, ""),
     (20, ""),
+    (21, "https://www.example.org/a/b/c"),
+    (22, "https://j.example.com/de/k/l"),
 ]
 
 
@@ -74,6 +80,7 @@ def test_rules_and_aliases(spark):
     edges = [
         ("a.example.net/x", "b.example.com/de/2"), ("b.example.com/fr/3", "b.example.com/de/4?x=1&y=2"), ("c.example.net/start", "example.net/target"),
         ("e.example.net/dir/seven", "e.example.net/dir/next/page"), ("f.example.net/eight", "example.org/es/9"),
+        ("www.example.org/a/b/c", "www.example.org/es/9?a=/../b"), ("j.example.com/de/k/l", "j.example.com/de/"),
         ("h.example.net/plain", "example.org/en/1"), ("i.net/1", "example.net/target"),
     ]
     groups: list[set[str]] = []
@@ -102,6 +109,28 @@ def test_sql_says_the_same(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == want
 
 
+def test_dot_segments_are_folded(spark):
+    links = {"../q": "/q", "./q": "/a/q", "../../../q": "/q", "..": "/", ".": "/a/", "b/../../q?x=../y": "/q?x=../y", "/a/./b/../c": "/a/c", "...": "/a/..."}
+    rows = spark.createDataFrame(list(links.items()), "href string, want string")
+    got = rows.select("want", link_address(F.col("href"), F.lit("d.net"), F.lit("/a/p")).alias("got")).collect()
+    assert [r.got for r in got] == ["x://d.net" + r.want for r in got]
+    html = {1: '<link rel="canonical" href="../q">', 2: '<meta http-equiv="refresh" content="0; url=http://x.org/bad">', 3: None}
+    urls = {1: "http://d.net/a/p", 2: "http://d.net/q", 3: "http://d.net/a/q"}
+    pages = spark.createDataFrame([(i, urls[i], html[i], "", "", "") for i in urls], PAGES)
+    rules = spark.createDataFrame([("x.org", "/bad", "block")], RULES)
+    assert {r.page_id: r.verdict for r in filter_urls(pages, rules).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_broken_html_takes_linear_time(spark):
+    html = ["<link " * 170_000, "<link rel=" + "rel=" * 250_000, "<meta content=" + " " * 1_000_000, '<link rel="canonical" href="http://x.org/bad">' * 1000]
+    html += ["<meta http-equiv=refresh content=" + "0" * 1_000_000 + ">", '<link rel="canonical" href="' + "a/../" * 200_000 + '">']
+    pages = spark.createDataFrame([(i, f"http://d{i}.net/", h, "", "", "") for i, h in enumerate(html)], PAGES)
+    rules = spark.createDataFrame([("x.org", "/bad", "block")], RULES)
+    start = time.perf_counter()
+    assert {r.page_id for r in filter_urls(pages, rules).collect() if r.verdict == "block"} == {3}
+    assert time.perf_counter() - start < 60
+
+
 def test_longest_rule_ties_and_broken_rules(spark):
     rules = [("b.c", "/x", "block"), ("a.b.c", "", "block"), ("c", "/xy", "allow"), ("c", "/xy", "block"), (None, "/", "block"), ("c", None, "maybe"), ("C", "/", "block")]
     urls = ["http://a.b.c/xyz", "http://b.c/xyz", "http://z.c/xy", "http://c/", "http://c"]

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from outlay.llm.ann import assign, best_bins, fit_tree, nearest
+from outlay.llm import hard_negatives
 from outlay.llm.hamming_dedup import codes, dedup_embeddings, learn_rotation
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double, leaf long, rank int, w long"
@@ -111,18 +112,16 @@ def test_near_duplicates_equal_brute_force(spark, d):
     rows += [(2000, None, 1), (2001, [0.0] * d, 1), (2002, [float("nan")] * d, 1), (2003, rows[7][1], None), (2004, [], 0), (2005, [None, 1.0], 0)]
     rows += [(2006, (np.array(rows[7][1]) * 3).astype(np.float32).tolist(), rows[7][2])]
     found = dedup_embeddings(frame(spark, rows)).collect()
-    want = plain_links(rows)
-    assert sum(r.n_links for r in found) >= 0.97 * sum(w[1] for w in want)
-    if d == 64:
-        assert sorted(map(tuple, found)) == want
-    named = {w[0]: w for w in want}
-    assert all(r.n_links <= named[r.vec_id][1] for r in found)
+    assert sorted(map(tuple, found)) == plain_links(rows)
 
 
 def test_repeated_and_missing_rows(spark):
     found = dedup_embeddings(frame(spark, [(3, [1.0, 2.0], 1), (3, [1.0, 2.0], 1), (4, [2.0, 4.0], 1), (None, [1.0, 2.0], 1)])).collect()
     assert sorted(map(str, map(tuple, found))) == ["(3, 1, 3, True)", "(3, 1, 3, True)", "(4, 1, 3, False)", "(None, 0, None, True)"]
     assert dedup_embeddings(frame(spark, [])).collect() == []
+    # links between vectors of one id do not count
+    found = dedup_embeddings(frame(spark, [(3, [1.0, 2.0], 1), (3, [1.0, 2.01], 1), (5, [1.0, 2.02], 1), (6, [-1.0, 0.0], 1), (6, [0.0, 1.0], 1)])).collect()
+    assert sorted(map(tuple, found)) == [(3, 1, 3, True), (3, 1, 3, True), (5, 2, 3, False), (6, 0, 6, True), (6, 0, 6, True)]
 
 
 def test_codes_are_balanced_and_near_for_near_vectors():
@@ -157,3 +156,58 @@ def test_no_link_is_lost_at_the_bound(spark, monkeypatch, d, asked):
     monkeypatch.setattr(hamming_dedup, "BLOCK", 100)
     rows = [(i, v.astype(np.float32).tolist(), i % 500 // 400) for i, v in enumerate(offset_pairs(d))]
     assert sorted(map(tuple, dedup_embeddings(frame(spark, rows)).collect())) == plain_links(rows)
+
+
+def plain_negatives(rows, every):
+    good = {}
+    for i, v, label in rows:
+        if i is not None and label is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all():
+            good[i, label, tuple(np.floor(256 * np.array(v, float)).astype(int).tolist())] = None
+    good = [(i, label, list(q) + [0] * (64 - len(q))) for i, label, q in good]
+    out = []
+    for a, own, q in good:
+        if a % every == 0:
+            scored = sorted((-sum(x * y for x, y in zip(q, r, strict=True)), i, label) for i, label, r in good if i != a)
+            for p, positive, _ in [s for s in scored if s[2] == own][:5]:
+                hard = [s for s in scored if s[2] != own and 80 * -p <= 100 * -s[0] <= 100 * -p][:5]
+                out += [(a, positive, n, i, -p, -s) for n, (s, i, _) in enumerate(hard, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block", "group"), [(8192, 2048), (150, 20)])
+def test_hard_negatives_equal_brute_force(spark, monkeypatch, block, group):
+    monkeypatch.setattr(hard_negatives, "BLOCK", block)
+    monkeypatch.setattr(hard_negatives, "GROUP", group)
+    monkeypatch.setattr(hard_negatives, "STEP", 3)
+    x = clustered(900, 12, 4)
+    labels = np.random.default_rng(1).integers(0, 4, 900).tolist()
+    rows = [(i, v.tolist(), label) for i, (v, label) in enumerate(zip(x, labels, strict=True))]
+    rows += [(1000 + i, rows[10][1], i % 3) for i in range(90)]  # ties
+    rows += [(2000, None, 1), (2010, [float("nan")], 1), (2020, [None, 1.0], 1), (2030, rows[0][1], None), (None, rows[0][1], 1)]
+    rows += [(2040, [], 1), (2050, [0.0] * 12, 1), (2060, [0.5], 2), (2070, [1e-30, float("inf")], 2), (10, rows[10][1], rows[10][2]), (20, rows[30][1], 0)]
+    found = hard_negatives.mine_hard_negatives(frame(spark, rows), "vec_id % 10 = 0").collect()
+    want = plain_negatives(rows, 10)
+    assert sorted(map(tuple, found)) == want and len(want) > 1000
+
+
+def test_hard_negatives_of_odd_tables(spark):
+    def mined(rows):
+        return sorted(map(tuple, hard_negatives.mine_hard_negatives(frame(spark, rows), "vec_id % 10 = 0").collect()))
+
+    assert mined([]) == [] and mined([(10, [1.0], 1)]) == [] and mined([(11, [1.0], 1), (12, [1.0], 2)]) == []
+    assert mined([(10, [1.0], 1), (11, [-1.0], 1), (12, [-0.9], 2)]) == []  # nothing fits below a negative score
+    assert mined([(10, [0.0], 1), (11, [1.0], 1), (12, [3.0], 2)]) == [(10, 11, 1, 12, 0, 0)]
+    big = mined([(10, [1e30, 1.0], 1), (11, [1e5], 1), (12, [9e4], 2)])
+    assert big == [(10, 11, 1, 12, (1 << 25) * 25_600_000, (1 << 25) * 23_040_000)]
+
+
+def test_score_bounds_hold():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.integers(-300, 300, (300, 9)), np.zeros((1, 9), int), rng.integers(-1, 2, (100, 9)), np.eye(9, dtype=int) * (1 << 25)])
+    x = np.concatenate([x, x[:50], -x[:50], 2 * x[:50]])
+    norm, angle = hard_negatives.angles(x, hard_negatives.fit_references(x.astype(float)))
+    angle = angle.astype(np.float32)
+    low, high = hard_negatives.score_bounds(angle, norm, angle, norm)
+    exact = hard_negatives.whole_products(x, x)
+    assert (low <= exact).all() and (exact <= high).all()
+    assert (hard_negatives.whole_products(x * 64, x * 64) == (x * 64).astype(object) @ (x * 64).astype(object).T).all()
