@@ -18,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from outlay.llm.common import Scratch
+from outlay.session import scratch_path
 
 #: Longest words that are walked character by character.
 LEVELS = 48
 #: Edges of a level up to which they are broadcast, and words through a node above which its states are salted.
-_FEW, _HEAVY = 100_000, 200_000
+_FEW, _HEAVY = 50_000, 200_000
 RUN = r"[A-Za-zÀ-ÿ]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -90,8 +91,9 @@ def near_words(words: DataFrame) -> DataFrame:
     through = trie.groupBy("depth", "node").agg(F.sum("through").alias("w")).where(F.col("w") > _HEAVY)
     heavy = scratch.write(through.withColumn("salts", F.expr(f"cast(ceil(w / {_HEAVY}) as long)")))
     salted = {r.depth for r in heavy.select("depth").distinct().collect()}
-    walking = "side", "text", "n", "position", "node"
-    found, frontier = [], None
+    root, walk = scratch_path(words.sparkSession, "spelling-walk"), "side int, text string, n int, position int, node long"
+    read = words.sparkSession.read
+    frontier = None
     for level in sorted(sizes):
         # words at this depth spend their edit here: character number `level` is replaced, or left out once per run of equal ones
         here = sides.where(f"if(side = 0, n div 2, n - n div 2) <= {level} and {level} < n").selectExpr(
@@ -104,14 +106,15 @@ def near_words(words: DataFrame) -> DataFrame:
             moved = frontier.selectExpr("side", "text", "n", "position + 1 as position", "node", "substr(text, position + 1, 1) as want", "false as other")
             states = states.union(moved)
         edges = trie.where(f"depth = {level}").select("node", "ch", "child", "after", "ends")
-        now = scratch.write(_step(states, edges, sizes[level] <= _FEW, heavy.where(f"depth = {level}") if level in salted else None))
-        found.append(now.where("position = n").select("side", "text", "node"))
-        found.append(here.where(f"{level} + 1 = n").select("side", "text", "node"))  # without its last character
-        frontier = now.where("position < n").select(*walking)
+        path = f"{root}/level={level}"
+        _step(states, edges, sizes[level] <= _FEW, heavy.where(f"depth = {level}") if level in salted else None).write.parquet(path)
+        frontier = read.schema(walk).parquet(path).where("position < n")
+    # states at the end of their word, and words without their last character
+    ended = sides.selectExpr("side", "text", _node("side", "text", "n - 1") + " as node")
+    if sizes:
+        ended = ended.union(read.schema(walk + ", level int").parquet(root).where("position = n").select("side", "text", "node"))
     ends = sides.selectExpr("side", "text as other", "xxhash64(side, text) as node")
-    pairs = _long_pairs(both, scratch)
-    for part in found:
-        pairs = pairs.union(part.join(ends, ["side", "node"]).select("side", "text", "other"))
+    pairs = ended.join(ends, ["side", "node"]).select("side", "text", "other").union(_long_pairs(both))
     pairs = pairs.where("levenshtein(text, other, 1) = 1").selectExpr(
         "if(side = 0, text, reverse(text)) as word", "if(side = 0, other, reverse(other)) as near"
     )
@@ -120,7 +123,7 @@ def near_words(words: DataFrame) -> DataFrame:
     return pairs.union(shorter).distinct()
 
 
-def _long_pairs(both: DataFrame, scratch: Scratch) -> DataFrame:
+def _long_pairs(both: DataFrame) -> DataFrame:
     """``(side, text, other)`` where ``text`` has more than ``LEVELS`` characters: it and a word as long, or one shorter,
     share the first half of ``text`` in one of the readings."""
     half = "if(side = 0, {n} div 2, {n} - {n} div 2)"
