@@ -6,10 +6,10 @@ together by written tables in the folder all executors share.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from outlay.llm.mixing import mixed_texts
-from outlay.llm.ngram_join import BROADCAST_IDS, ngram_jaccard_join
+from outlay.llm.ngram_join import keep_one_of_each
 from outlay.llm.personal import mask_personal
 from outlay.llm.pieces import encode_pieces
 from outlay.llm.quality import keep_quality
@@ -22,25 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest ``doc_id``.
-
-    A document is a ``doc_id`` with a text (by a 64-bit hash of both): rows that share a ``doc_id`` but not the text
-    are documents of their own, of which one per component stays. Of rows that repeat both one stays. Rows
-    without ``doc_id`` stay.
-    """
-    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
-    part = ngram_jaccard_join(docs.select(key.alias("doc_id"), "text")).where("doc_id is not null")
-    part = part.groupBy(F.col("doc_id").alias("key")).agg(F.first("component_id").alias("component"), F.count("*").alias("n"))
-    named = part.join(docs.select(key.alias("key"), F.col("doc_id").alias("id")), "key")
-    found = named.groupBy("component").agg(F.min(F.struct("id", "key", "n")).alias("least"))
-    found = materialize(found.select("least.key", "least.n"), "kept")
-    few = F.broadcast if found.count() <= BROADCAST_IDS else (lambda df: df)  # else the texts move to meet the ids
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key"))
-    once = keyed.join(few(found.where("n = 1").select("key")), "key", "left_semi")
-    often = keyed.join(few(found.where("n > 1").select("key")), "key", "left_semi")
-    place = F.row_number().over(W.partitionBy("key").orderBy("doc.text")).alias("place")
-    first = often.select("doc", "key", place).where("place = 1")
-    return once.select("doc.*").union(first.select("doc.*")).union(docs.where("doc_id is null").select(*docs.columns))
+    """Of each component of near-duplicates one document."""
+    return keep_one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
