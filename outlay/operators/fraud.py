@@ -161,6 +161,11 @@ def duplicate_alerts(invoices: DataFrame) -> DataFrame:
         df.select("invoice_id", "seq", "vendor", "invoice_number"),
         ["vendor", "invoice_number"], "seq", {"n_before": F.lit(1).cast("long")},
     ).where("n_before > 0")
+    return duplicate_rows(counted)
+
+
+def duplicate_rows(counted: DataFrame) -> DataFrame:
+    """Alerts of invoices with ``n_before`` earlier ones of the same number."""
     return _rows(
         counted,
         _alert("duplicate_invoice", [
@@ -171,6 +176,25 @@ def duplicate_alerts(invoices: DataFrame) -> DataFrame:
     )
 
 
+def near_cells(cfg: FraudConfig) -> Column:
+    """``array<struct<c, w, home>>``: the cells of amount and day in which an invoice's near duplicates lie, its own marked.
+
+    Cells are wider than twice the reach, so there are at most two of each.
+    """
+    cents, days = 4 * cfg.same_amount, 4 * cfg.near_days
+    total, day = F.col("total"), F.datediff("d", F.lit("1970-01-01").cast("date"))
+
+    def around(value: Column, by: float, width: float) -> Column:
+        return F.array_distinct(F.array(F.floor((value - by) / width), F.floor((value + by) / width)))
+
+    c, w = F.floor(total / cents), F.floor(day / days)
+    cell = F.transform(
+        around(total, cfg.same_amount * 1.5, cents),
+        lambda x: F.transform(around(day, cfg.near_days, days), lambda y: F.struct(x.alias("c"), y.alias("w"), ((x == c) & (y == w)).alias("home"))),
+    )
+    return F.flatten(cell)
+
+
 def near_duplicates(invoices: DataFrame, cfg: FraudConfig = FraudConfig()) -> DataFrame:
     """``(invoice_id, vendor, total, n_before)``: earlier invoices of the vendor with the same
     amount within a cent and a date within a week.
@@ -256,8 +280,13 @@ def _sized(keys: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
 
 
 def near_duplicate_alerts(invoices: DataFrame, cfg: FraudConfig = FraudConfig()) -> DataFrame:
+    return near_duplicate_rows(near_duplicates(invoices, cfg), cfg)
+
+
+def near_duplicate_rows(counted: DataFrame, cfg: FraudConfig = FraudConfig()) -> DataFrame:
+    """Alerts of invoices with ``n_before`` earlier ones that are alike."""
     return _rows(
-        near_duplicates(invoices, cfg),
+        counted,
         _alert("near_duplicate", [
             _text("Vendor: ", F.col("vendor")),
             _text("Amount: ", _dollars("total")),
@@ -303,6 +332,11 @@ def format_alerts(invoices: DataFrame, cfg: FraudConfig = FraudConfig()) -> Data
         .join(started, "vendor")
         .where((F.col("first_seq") > F.col("known_from")) & (F.col("n_before") > 0))
     )
+    return format_rows(new)
+
+
+def format_rows(new: DataFrame) -> DataFrame:
+    """Alerts of invoices with a new ``format``, after ``n_before`` others."""
     return _rows(
         new,
         _alert("inconsistent_invoice_format", [
@@ -360,8 +394,13 @@ def amount_anomalies(invoices: DataFrame, cfg: FraudConfig = FraudConfig()) -> D
 
 
 def amount_alerts(invoices: DataFrame, cfg: FraudConfig = FraudConfig()) -> DataFrame:
+    return amount_rows(amount_anomalies(invoices, cfg))
+
+
+def amount_rows(found: DataFrame) -> DataFrame:
+    """Alerts of invoices whose ``total`` is ``z`` deviations off the vendor's mean."""
     return _rows(
-        amount_anomalies(invoices, cfg),
+        found,
         _alert("amount_anomaly", [
             _text("Current amount: ", _dollars("total")),
             _text("Historical average: ", _dollars("mean_before")),
@@ -436,6 +475,10 @@ def alerts(
         found = found.unionByName(more)
     if transactions is not None:
         found = found.unionByName(unpaid_alerts(invoices, transactions, cfg))
+    return with_alert_id(found)
+
+
+def with_alert_id(found: DataFrame) -> DataFrame:
     content = F.concat_ws("|", "invoice_id", "alert_type", F.array_join("evidence", "|"))
     return found.withColumn("alert_id", F.sha2(content, 256))
 

@@ -10,7 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from outlay.config import FraudConfig
 from outlay.operators import fraud as R
+from outlay.session import materialize, workers_find_package
 from outlay.sources.files import TIME_FORMAT
+from outlay.streaming.fraud_state import answers, asks
 
 
 def _start(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -65,36 +67,55 @@ def write_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     )
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def score_invoices(
     stream: DataFrame,
-    history_path: str,
     alerts_path: str,
     checkpoint: str,
     transactions: DataFrame | None = None,
     cfg: FraudConfig = FraudConfig(),
 ) -> StreamingQuery:
-    """Score arriving invoices against all earlier ones and add them to the history.
+    """Score arriving invoices against all earlier ones, whose traces are kept in keyed state.
 
-    Batch folders make a repeated batch harmless: the history it reads are the folders of
-    lower batch numbers only. Arriving invoices must have larger ``seq`` than stored ones.
+    A batch reads and shuffles its own invoices only; earlier ones are never read again. Arriving invoices must have
+    larger ``seq`` than those of batches before. Alerts of a batch are written to its own folder, so that a repeated
+    batch leaves none twice. States keep counts per number, shape, and amount and day, never an invoice.
     """
+    schema = stream.schema
+    workers_find_package(stream.sparkSession)
+    found = answers(asks(stream, cfg), cfg)
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        rows.write.mode("overwrite").parquet(batch_path(history_path, batch_id))
-        known = (
-            spark.read.schema(rows.schema.add("batch", "long"))
-            .option("basePath", history_path)
-            .parquet(history_path)
-            .where(F.col("batch") <= batch_id)
-        )
-        fresh = spark.read.schema(rows.schema).parquet(batch_path(history_path, batch_id))
-        # Only vendors that arrive can get alerts, so only their history is read on.
-        vendors = fresh.select(F.lower(F.coalesce("vendor", F.lit(""))).alias("_v")).distinct()
-        related = known.join(
-            vendors, F.lower(F.coalesce(known["vendor"], F.lit(""))) == F.col("_v"), "left_semi"
-        ).drop("batch")
-        found = R.alerts(related, transactions, cfg).join(fresh.select("invoice_id"), "invoice_id", "left_semi")
-        found.write.mode("overwrite").parquet(batch_path(alerts_path, batch_id))
-
-    return _start(stream, checkpoint, write)
+        rows = materialize(rows, "fraud-answers")  # the answers change the state: they are worked out once
+        docs = rows.where("rule = 'number'").select("n_before", F.from_json("doc", schema).alias("doc"))
+        fresh = materialize(docs.select("doc.*", "n_before"), "fraud-arrived")
+        bare = fresh.select(*schema.names)
+
+        def told(rule: str, *more: str) -> DataFrame:
+            own = rows.where(F.col("rule") == rule).select("invoice_id", "n_before", *more)
+            if rule == "near":  # an invoice asks several cells
+                own = own.groupBy("invoice_id").agg(F.sum("n_before").alias("n_before"))
+            return R.prepare(bare).join(own, "invoice_id")
+
+        alerts = R.document_alerts(bare, cfg)
+        for part in (
+            R.duplicate_rows(R.prepare(fresh).where("n_before > 0")),
+            R.near_duplicate_rows(told("near"), cfg),
+            R.format_rows(told("format", "format")),
+            R.amount_rows(told("amount", "mean_before", "std_before", "z")),
+        ):
+            alerts = alerts.unionByName(part)
+        if transactions is not None:
+            alerts = alerts.unionByName(R.unpaid_alerts(bare, transactions, cfg))
+        R.with_alert_id(alerts).write.mode("overwrite").parquet(batch_path(alerts_path, batch_id))
+
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE)
+    conf.set(STATE_STORE, ROCKS)
+    try:
+        return _start(found, checkpoint, write)
+    finally:
+        conf.set(STATE_STORE, before)

@@ -108,15 +108,26 @@ def test_model_agrees_with_its_labels_and_survives_saving(spark, tmp_path):
     assert out.where("category_confidence > 1 or category_confidence < 0.3").count() == 0
 
 
-def test_stream_scores_invoices_like_one_batch(spark, tmp_path):
-    schema = "invoice_id string, seq long, vendor string, invoice_number string, d date, total double, confidence double"
-    rows = [(f"i{n}", n, ["Acme", "b"][n % 2], f"N-{n % 6}", dt.date(2024, 1, 1 + n % 20), 10.0 + n % 3, 0.9) for n in range(40)]
-    src, out = str(tmp_path / "in"), {n: str(tmp_path / n) for n in ("history", "alerts", "cp")}
-    for part in (rows[:25], rows[25:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(schema).parquet(src)
-        S.score_invoices(stream, out["history"], out["alerts"], out["cp"]).awaitTermination()
+INVOICE = "invoice_id string, seq long, vendor string, invoice_number string, d date, total double, confidence double"
+
+
+def scored_by_stream(spark, tmp_path, rows, parts, **more):
+    src, alerts, cp = (str(tmp_path / n) for n in ("in", "alerts", "cp"))
+    for part in parts:
+        spark.createDataFrame(part, INVOICE).coalesce(1).write.mode("append").parquet(src)
+        job = S.score_invoices(spark.readStream.schema(INVOICE).parquet(src), alerts, cp, **more)
+        job.awaitTermination()
     cols = ["invoice_id", "alert_type", "occurrences", "alert_id"]
-    got = sorted(map(tuple, spark.read.parquet(out["alerts"]).select(*cols).collect()))
-    want = sorted(map(tuple, R.alerts(spark.createDataFrame(rows, schema)).select(*cols).collect()))
-    assert got == want and got
+    got = sorted(map(tuple, spark.read.parquet(alerts).select(*cols).collect()))
+    want = sorted(map(tuple, R.alerts(spark.createDataFrame(rows, INVOICE)).select(*cols).collect()))
+    return got, want, job
+
+
+def test_stream_scores_invoices_like_one_batch(spark, tmp_path):
+    rows = [(f"i{n}", n, ["Acme", "b", None][n % 3], f"N-{n % 6}", dt.date(2024, 1, 1 + n % 20), 10.0 + n % 3, 0.9) for n in range(40)]
+    rows += [(f"j{n}", 40 + n, "Acme", None if n % 2 else f"{'QR'[n % 4 // 2]}{n}", None if n == 3 else dt.date(2024, 2, 1 + n), None if n == 5 else 10.0, 0.4) for n in range(12)]
+    rows += [("k1", 60, "acme", "X", dt.date(2024, 3, 1), 9000.0, 0.9), ("k2", 61, "ACME", "X", dt.date(2024, 3, 8), 9000.005, 0.9)]
+    got, want, job = scored_by_stream(spark, tmp_path, rows, (rows[:25], rows[25:30], rows[30:]))
+    assert got == want and {g[1] for g in got} >= {"duplicate_invoice", "near_duplicate", "inconsistent_invoice_format", "amount_anomaly", "low_ocr_confidence"}
+    # the last batch reads its own rows and no earlier ones
+    assert job.lastProgress["numInputRows"] == len(rows) - 30
