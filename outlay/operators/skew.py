@@ -125,48 +125,42 @@ def lookup(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def exact_percentile(
-    df: DataFrame, key: str, value: str, p: float, accuracy: int = 10_000
-) -> DataFrame:
-    """Linear-interpolated percentile per key as ``(key, rows, percentile)``.
+def exact_percentile(df: DataFrame, key: str, value: str, p: float, buckets: int = 4096) -> DataFrame:
+    """Linear-interpolated percentile per key as ``(key, rows, percentile)``; null values do not count.
 
-    A sketch brackets the answer, then only the distinct values inside the narrow bracket
-    (about four thousandths of a key's rows) are ordered.
+    Selection by repeated histograms: a key's rows are counted in ``buckets`` equal steps between its least and greatest
+    value, the bucket that holds the wanted rank is kept, with its own least and greatest value, and counted again, until
+    one value is left. Counts are summed before the shuffle and only they are ordered, so no task holds a key's rows.
     """
-    margin = 20 / accuracy
-    vals = df.where(F.col(value).isNotNull()).select(key, value)
-    bracket = vals.groupBy(key).agg(
-        F.count("*").alias("rows"),
-        F.percentile_approx(value, [max(p - margin, 0.0), min(p + margin, 1.0)], accuracy).alias("_q"),
-    )
-    marked = lookup(vals, bracket, [key], "rows", [value])
-    lo, hi = F.col("_q")[0], F.col("_q")[1]
-    sides = marked.groupBy(key).agg(
-        F.first("rows").alias("rows"),
-        F.count_if(F.col(value) < lo).alias("_below"),
-        F.min(F.when(F.col(value) > hi, F.col(value))).alias("_above"),
-    )
-    inside = marked.where(F.col(value).between(lo, hi)).groupBy(key, value).agg(
-        F.count("*").alias("_n")
-    )
-    upto = W.partitionBy(key).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ranked = inside.withColumn("_upto", F.sum("_n").over(upto)).join(sides, key)
+    vals = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_v"))
+    n = F.count("*").alias("rows")
+    state = vals.groupBy(key).agg(n, F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).withColumn("_below", F.lit(0).cast("long"))
+    state = materialize(state.withColumn("_n", F.col("rows")), "percentile")
     rank = (F.col("rows") - 1) * F.lit(p)
     low_at = F.floor(rank)
-    last = F.col("_below") + F.col("_upto")
-    return (
-        ranked.groupBy(key)
-        .agg(
-            F.first("rows").alias("rows"),
-            F.min(F.when(last > low_at, F.col(value))).alias("_a"),
-            F.coalesce(
-                F.min(F.when(last > F.least(low_at + 1, F.col("rows") - 1), F.col(value))),
-                F.first("_above"),
-            ).alias("_b"),
+    high_at = F.least(low_at + 1, F.col("rows") - 1)
+    done = state.where("_lo = _hi").select(key, "rows", F.col("_lo").alias("_a"), F.col("_hi").alias("_b"))
+    while True:
+        state = state.where("_lo < _hi")
+        if state.isEmpty():
+            break
+        near = lookup(vals, state, [key], "_n", ["_v"]).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        # halves, as the difference of two doubles may be too large for one
+        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        at = F.least(F.floor(share * buckets), F.lit(buckets - 1))
+        counted = near.groupBy(key, at.alias("_at")).agg(
+            F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("rows").alias("rows"), F.first("_below").alias("_below")
         )
-        .select(
-            key,
-            "rows",
-            (F.col("_a") + (F.col("_b") - F.col("_a")) * (rank - F.floor(rank))).alias("percentile"),
+        upto = W.partitionBy(key).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)  # at most so many buckets
+        placed = counted.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+        holds = lambda at: (F.col("_below") <= at) & (at < F.col("_below") + F.col("_n"))
+        found = materialize(placed.where(holds(low_at) | holds(high_at)).withColumn("_first", holds(low_at)).withColumn("_last", holds(high_at)), "percentile")
+        # ranks in two buckets are the last of one and the first of the other
+        ends = found.where("_first <> _last or _lo = _hi").groupBy(key).agg(
+            F.first("rows").alias("rows"), F.max(F.when(F.col("_first"), F.col("_hi"))).alias("_a"), F.min(F.when(F.col("_last"), F.col("_lo"))).alias("_b")
         )
-    )
+        done = done.union(ends)
+        state = found.where("_first and _last").select(*state.columns)
+        kept = near.join(state.select(key, F.col("_lo").alias("_from"), F.col("_hi").alias("_to")), key)
+        vals = materialize(kept.where(F.col("_v").between(F.col("_from"), F.col("_to"))).select(key, "_v"), "percentile")
+    return done.select(key, "rows", (F.col("_a") + (F.col("_b") - F.col("_a")) * (rank - F.floor(rank))).alias("percentile"))

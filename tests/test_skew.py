@@ -43,9 +43,13 @@ def test_exact_percentile_interpolates(spark):
     rnd = random.Random(9)
     groups = {f"g{n}": [round(rnd.random() * 100, 1) for _ in range(n)] for n in (1, 2, 3, 4, 5, 10, 11, 997)}
     groups["flat"] = [5.0] * 40
+    groups["wide"] = [10.0 ** rnd.randrange(-30, 30) * rnd.choice([-1, 1]) for _ in range(101)]
+    groups["huge"] = [-1.7e308, 1.7e308, 0.0, 1.0, 1.0, 2.0]
+    groups["steps"] = [float(i // 7) for i in range(200)]
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
     for p in (0.25, 0.5):
         got = {r.g: r.percentile for r in skew.exact_percentile(df, "g", "v", p).collect()}
         assert got.keys() == groups.keys()
         for g, vs in groups.items():
-            assert abs(got[g] - np.percentile(vs, p * 100)) < 1e-9, (g, p)
+            want = np.percentile(vs, p * 100)
+            assert abs(got[g] - want) <= 1e-9 * max(1, abs(want)), (g, p)
