@@ -77,6 +77,22 @@ def test_csv_files_with_other_column_orders(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [("2024-01-01", "x", "5"), ("2024-02-02", "y", "7")]
 
 
+def test_csv_headers_are_first_lines(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "a.csv").write_text('\ufeffdate,vendor,amount,note\n2024-01-01,"x, y",5,"say ""hi"""\n\nvendor,date,amount,odd\n2024-01-02,z\n')
+    (tmp_path / "b.csv").write_text("amount,desc,merchant,date\r\n7,d,y,2024-02-02,extra\r\n")
+    got = files.read_transactions(spark, str(tmp_path))
+    assert got.columns == ["amount", "description", "vendor", "date", "note"]
+    rows = sorted(map(tuple, got.select("date", "vendor", "amount", "note", "description").collect()), key=str)
+    assert rows == [
+        ("2024-01-01", "x, y", "5", 'say "hi"', None), ("2024-01-02", "z", None, None, None), ("2024-02-02", "y", "7", None, "d"), ("vendor", "date", "amount", "odd", None),
+    ]
+    only = tmp_path / "only"
+    only.mkdir()
+    (only / "e.csv").write_text("")
+    assert files.read_transactions(spark, str(only)).count() == 0
+
+
 def test_audit_files_keep_microseconds(spark, log, tmp_path):
     exact = log.withColumn("timestamp", F.lit("2024-01-01 10:00:00.123456").cast("timestamp"))
     sinks.append_audit(exact, str(tmp_path / "log"))
