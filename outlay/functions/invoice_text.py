@@ -46,25 +46,27 @@ MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 HEADER_DATE = (
     r"(?i)date\s*:?\s*(\d{4}[/-]\d{1,2}[/-]\d{1,2})",
     r"(?i)date\s*:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
-    r"(?<!\d)(\d{4}[/-]\d{1,2}[/-]\d{1,2})(?!\d)",
+    r"(?<!\d)(\d{4}[/.-]\d{1,2}[/.-]\d{1,2})(?!\d)",
+    r"(?<![\d.])(\d{1,2}\.\d{1,2}\.\d{4})(?![\d.])",
     r"(?<![\d/-])(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
     rf"(?i)((?:{MONTHS})[a-z]*\s+\d{{1,2}},?\s+\d{{4}})",
 )
 ANY_DATE = (
-    r"(?i)(?:Invoice\s+)?Date\s*:?\s*([A-Za-z0-9\s,/-]+)",
-    r"(?i)Dated\s*:?\s*([A-Za-z0-9\s,/-]+)",
-    r"(?i)(?:Issue|Issued)\s+(?:Date|On)\s*:?\s*([A-Za-z0-9\s,/-]+)",
-    r"(?i)Date\s+of\s+Invoice\s*:?\s*([A-Za-z0-9\s,/-]+)",
+    r"(?i)(?:Invoice\s+)?Date\s*:?\s*([A-Za-z0-9\s,./-]+)",
+    r"(?i)Dated\s*:?\s*([A-Za-z0-9\s,./-]+)",
+    r"(?i)(?:Issue|Issued)\s+(?:Date|On)\s*:?\s*([A-Za-z0-9\s,./-]+)",
+    r"(?i)Date\s+of\s+Invoice\s*:?\s*([A-Za-z0-9\s,./-]+)",
     r"(?<![\d/-])(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
     r"(?<!\d)(\d{4}[/-]\d{1,2}[/-]\d{1,2})(?!\d)",
-    rf"(?i)((?:{MONTHS})[a-z]*\s+\d{{1,2}},?\s+\d{{4}})",
-    rf"(?i)(\d{{1,2}}\s+(?:{MONTHS})[a-z]*\s+\d{{4}})",
+    rf"(?i)((?:{MONTHS})[a-z]*\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}})",
+    rf"(?i)(\d{{1,2}}(?:st|nd|rd|th)?\s+(?:of\s+)?(?:{MONTHS})[a-z]*\s+\d{{4}})",
 )
 # How a date may be written; two-digit years from 76 on are of the last century.
-YEAR_FIRST = r"(?<!\d)(\d{4}[/-]\d{1,2}[/-]\d{1,2})"
-YEAR_LAST = r"(?<![\d/-])(\d{1,2}[/-]\d{1,2}[/-](?:\d{4}|\d{2}))(?!\d)"
-MONTH_FIRST = rf"(?i)((?:{MONTHS})[a-z]*\.?\s+\d{{1,2}},?\s+\d{{4}})"
-DAY_FIRST = rf"(?i)(\d{{1,2}}\s+(?:{MONTHS})[a-z]*\.?,?\s+\d{{4}})"
+YEAR_FIRST = r"(?<!\d)(\d{4}[/.-]\d{1,2}[/.-]\d{1,2})"
+YEAR_LAST = r"(?<![\d/.-])(\d{1,2}[/-]\d{1,2}[/-](?:\d{4}|\d{2})|\d{1,2}\.\d{1,2}\.\d{4})(?!\d)"
+ORDINAL = "(?:st|nd|rd|th)?"
+MONTH_FIRST = rf"(?i)((?:{MONTHS})[a-z]*\.?\s+\d{{1,2}}{ORDINAL},?\s+\d{{4}})"
+DAY_FIRST = rf"(?i)(\d{{1,2}}{ORDINAL}\s+(?:of\s+)?(?:{MONTHS})[a-z]*\.?,?\s+\d{{4}})"
 LAST_CENTURY = "76"
 AMOUNT = r"\s*:?\s*\$?\s*([\d,]+\.?\d{0,2})"
 TOTAL_AMOUNT = (
@@ -119,12 +121,13 @@ def parse_date(text: Column) -> Column:
     """The first thing in a text that reads as a date, else null; month first where both fit."""
 
     def tried(pattern: str, splitter: str, *readings) -> Column:
-        parts = F.split(F.regexp_extract(text, pattern, 1), splitter)
+        found = F.regexp_replace(F.regexp_extract(text, pattern, 1), r"(?i)(?<=\d)(?:st|nd|rd|th)\b|\bof\s+", "")
+        parts = F.split(found, splitter)
         return first_of(each([parts], lambda p: F.coalesce(*[read(p) for read in readings])))
 
     return F.coalesce(
-        tried(YEAR_FIRST, "[/-]", lambda p: _date(p, 0, 1, 2)),
-        tried(YEAR_LAST, "[/-]", lambda p: _date(p, 2, 0, 1), lambda p: _date(p, 2, 1, 0)),
+        tried(YEAR_FIRST, "[/.-]", lambda p: _date(p, 0, 1, 2)),
+        tried(YEAR_LAST, "[/.-]", lambda p: _date(p, 2, 0, 1), lambda p: _date(p, 2, 1, 0)),
         tried(MONTH_FIRST, r"[.,]?\s+", lambda p: _named_date(p, 0, 1)),
         tried(DAY_FIRST, r"[.,]?\s+", lambda p: _named_date(p, 1, 0)),
     )

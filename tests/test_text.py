@@ -85,6 +85,8 @@ def test_dates(spark):
     cases = {
         "03/28/2024": dt.date(2024, 3, 28), "28/03/2024": dt.date(2024, 3, 28), "2024-3-8": dt.date(2024, 3, 8),
         "due Mar 5, 2021 or so": dt.date(2021, 3, 5), "5 September 2020": dt.date(2020, 9, 5), "1/2/24": dt.date(2024, 1, 2),
+        "28.03.2024": dt.date(2024, 3, 28), "on 2024.03.28.": dt.date(2024, 3, 28), "March 5th, 2024": dt.date(2024, 3, 5), "3rd of May 2021": dt.date(2021, 5, 3),
+        "21st August 2022": dt.date(2022, 8, 21), "version 1.2.24": None, "1.2.3.2024": None,
         "1/2/99": dt.date(1999, 1, 2), "2024": None, "24": None, "45/45/2024": None, "": None,
     }
     df = spark.createDataFrame([(t,) for t in cases], "t string")
