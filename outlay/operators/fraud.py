@@ -11,12 +11,14 @@ are the same as with one alert per earlier copy, while the output stays linear i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from outlay.config import FraudConfig
 from outlay.functions.text import fixed, present
+from outlay.operators.contained import contained_names
 from outlay.operators.skew import lookup, running_before, with_block
 from outlay.session import materialize
+from outlay.sources.tables import find, write_keyed
 
 # Severity, confidence, description and recommended action per alert type.
 ALERTS: dict[str, tuple[str, float, str, str]] = {
@@ -414,27 +416,19 @@ def unpaid(invoices: DataFrame, transactions: DataFrame, cfg: FraudConfig = Frau
     """Invoices without any transaction within a month whose vendor contains the invoice
     vendor, or with ``vendor_chars`` its first characters.
 
-    Vendor names are joined on equal substrings (no cross join), payments are reduced to
+    Vendor names are found in payees by automata (see ``contained``), payments are reduced to
     days per name start, and a range window per name start finds the nearest payment. Its
     groups hold calendar days, not rows.
     """
     df = prepare(invoices).where(
         F.coalesce(F.col("total") != 0, F.lit(False)) & F.col("d").isNotNull() & present("vendor")
     ).withColumn("start", F.col("vendor") if cfg.vendor_chars is None else F.substring("vendor", 1, cfg.vendor_chars))
-    starts = df.groupBy("start").agg(F.count("*").alias("n")).withColumn("size", F.length("start"))
+    starts = df.select("start").distinct()
     pays = transactions.where("vendor is not null and d is not null").select(
         F.lower("vendor").alias("payee"), "d"
     ).distinct()
-    sizes = starts.agg(F.array_sort(F.collect_set("size"))).scalar()
-    payees = pays.select("payee").distinct().withColumn("_sizes", sizes)
-    pieces = (
-        payees.withColumn("size", F.explode("_sizes"))
-        .where(F.length("payee") >= F.col("size"))
-        .withColumn("at", F.explode(F.sequence(F.lit(1), F.length("payee") - F.col("size") + 1)))
-        .select("payee", F.expr("substring(payee, at, size)").alias("start"))
-        .distinct()
-    )
-    named = pieces.join(starts.select("start"), "start")
+    payees = pays.select(F.col("payee").alias("text")).distinct()
+    named = contained_names(payees, starts.select(F.col("start").alias("name"))).toDF("payee", "start")
     paid_days = pays.join(named, "payee").select("start", "d").distinct()
     asked = df.groupBy("start", "d").agg(F.count("*").alias("n_asked"))
     day_no = F.datediff("d", F.lit("1970-01-01").cast("date"))
@@ -519,6 +513,16 @@ def risk(invoices: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def keep_results(results: DataFrame, path: str | None = None) -> str:
+    """Keep fraud results for lookups by ``invoice_id``; returns the table's name."""
+    return write_keyed(results, "invoice_id", path=path)
+
+
+def result_of(spark: SparkSession, table: str, invoice_id: str) -> DataFrame:
+    """The kept fraud result of one invoice, if there is one; reads one bucket."""
+    return find(spark, table, "invoice_id", invoice_id)
+
+
 def alert_counts(found: DataFrame) -> DataFrame:
     """Counts over all invoices, as the alert overview shows them."""
     return found.agg(

@@ -221,6 +221,21 @@ def fraud_risk(spark, sf):
     )
 
 
+@query(
+    with_views(
+        f"""with {RISK} select invoice_id, cast(risk_score as double) as risk_score, cast(alert_count as bigint) as alert_count
+from risk where invoice_id in ('inv7r', 'inv40')""",
+        "v_inv",
+        "v_bank",
+    )
+)
+def lookup_fraud(spark, sf):
+    table = materialize(invoices(spark, sf), "invoices")
+    kept = R.keep_results(R.risk(table, R.alerts(table, view(spark, sf, "v_bank"), TEN)))
+    found = R.result_of(spark, kept, "inv7r").unionByName(R.result_of(spark, kept, "inv40"))
+    return found.select("invoice_id", F.round("risk_score", 4).alias("risk_score"), "alert_count")
+
+
 @query(
     with_views(
         f"""with {ALERT_CTE} select cast(sum(occurrences) as bigint) as total_alerts,

@@ -6,9 +6,10 @@ import re
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from outlay.config import FraudConfig
-from outlay.operators import fraud as R
+from outlay.operators import contained, fraud as R
 
 DAY = dt.date(2024, 1, 1)
 SCHEMA = "invoice_id string, seq long, vendor string, invoice_number string, d date, total double, subtotal double, tax double, items_sum double, n_items int, confidence double"
@@ -115,3 +116,26 @@ def test_unpaid_equals_the_loop(spark):
 def test_invoice_format(spark):
     df = spark.createDataFrame([("INV-001",), ("a1 B2",)], "n string")
     assert [r[0] for r in df.select(R.invoice_format("n")).collect()] == ["AAA-NNN", "AN AN"]
+
+
+def test_lookup_reads_one_bucket(spark, tmp_path):
+    rows = spark.range(500).select(F.concat(F.lit("inv"), F.col("id").cast("string")).alias("invoice_id"), F.col("id").cast("double").alias("risk_score"))
+    table = R.keep_results(rows, str(tmp_path / "kept"))
+    found = R.result_of(spark, table, "inv77")
+    assert [r.risk_score for r in found.collect()] == [77.0] and R.result_of(spark, table, "none").collect() == []
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else the plan does not tell
+    plan = R.result_of(spark, table, "inv77")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert "SelectedBucketsCount: 1 out of 8" in plan
+    spark.sql(f"drop table {table}")
+
+
+@pytest.mark.parametrize("size", [4_000_000, 8, 1])
+def test_names_inside_texts(spark, monkeypatch, size):
+    monkeypatch.setattr(contained, "TEXTS", 5)
+    rng = random.Random(size)
+    texts = {"".join(rng.choice("abç ") for _ in range(rng.randrange(0, 12))) for _ in range(60)}
+    names = {"".join(rng.choice("abç ") for _ in range(rng.randrange(0, 4))) for _ in range(25)}
+    one, two = ([(x,) for x in (*sorted(s), None)] for s in (texts, names))
+    found = contained.contained_names(spark.createDataFrame(one, "text string"), spark.createDataFrame(two, "name string"), size).collect()
+    assert sorted(map(tuple, found)) == sorted((t, n) for t in texts for n in names if n and n in t)
