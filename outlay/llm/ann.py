@@ -1,11 +1,13 @@
 """Nearest neighbours by inner product with a hierarchical k-means tree.
 
 A component that completes all vectors to one length turns the largest inner product into the
-smallest distance, and the tree is built in that space. It is fitted on a bounded sample; every
-vector is then indexed under one leaf. A query walks the tree best bin first: a priority queue
+smallest distance, and the tree is built in that space. Its top is fitted on a bounded sample; leaves that hold too
+many vectors are split again, level by level, each on a bounded sample of its own, so that leaves stay as small
+however many vectors there are. Every vector is indexed under one leaf. A query walks the tree best bin first: a priority queue
 of nodes by distance yields leaves, the nearest first. How many leaves are visited is
 calibrated: sample queries are answered exactly, and visits widen until the leaves that hold their
-true neighbours are among those visited. Vectors and queries meet in blocks of bounded size.
+true neighbours are among those visited. Queries that begin at the same leaves form a part, and a leaf is sent, in blocks of
+bounded size, only to the parts that visit it.
 """
 
 from __future__ import annotations
@@ -25,8 +27,12 @@ SAMPLE_ROWS = 20_000
 CALIBRATION = 128
 BRANCHES, LEAF_ROWS = 8, 1000
 TARGET = 0.96
+#: Rows of a leaf above which it is split again, the rows it is split by, and leaves beyond which they grow instead (the tree
+#: is held by the driver and every task).
+SPLIT_ROWS, SPLIT_SAMPLE, MOST_LEAVES = 4000, 2000, 50_000
 #: Most rows, and most queries, of one block.
 BLOCK = 2048
+_FAR, _FEW = 1 << 22, 200_000
 _LISTED = pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64()), ("leaf", pa.int64())]))
 
 
@@ -71,6 +77,27 @@ class Tree:
     def matrix(self) -> np.ndarray:
         return np.stack(self.centres)
 
+    def split(self, leaf: int, centres: np.ndarray) -> None:
+        """Make a leaf a node with new leaves."""
+        node = self.leaf.index(leaf)
+        self.leaf[node] = -1
+        for centre in centres:
+            self.children[node].append(len(self.centres))
+            self.centres.append(centre)
+            self.children.append([])
+            self.leaf.append(self.leaves)
+            self.leaves += 1
+
+    def in_order(self) -> list[int]:
+        """Leaves from left to right."""
+        out, todo = [], list(self.roots[::-1])
+        while todo:
+            node = todo.pop()
+            if self.leaf[node] >= 0:
+                out.append(self.leaf[node])
+            todo += self.children[node][::-1]
+        return out
+
 
 def _split(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray | None:
     """Lloyd's k-means: the group of each row, or None if the rows cannot be told apart."""
@@ -126,7 +153,8 @@ def assign(tree: Tree, x: np.ndarray) -> np.ndarray:
 def best_bins(tree: Tree, queries: np.ndarray) -> Iterator[Iterator[int]]:
     """Per query its leaves, best first, lazily: the queue pops the nearest node met so far."""
     centres = tree.matrix()
-    far = (centres**2).sum(1) - 2 * queries @ centres.T
+    square = (centres**2).sum(1)
+    step = max(1, _FAR // len(centres))
 
     def walk(d: np.ndarray) -> Iterator[int]:
         heap = [(d[n], n) for n in tree.roots]
@@ -137,7 +165,7 @@ def best_bins(tree: Tree, queries: np.ndarray) -> Iterator[Iterator[int]]:
             for child in tree.children[node]:
                 heapq.heappush(heap, (d[child], child))
 
-    return (walk(d) for d in far)
+    return (walk(d) for at in range(0, len(queries), step) for d in square - 2 * queries[at : at + step] @ centres.T)
 
 
 def _products(x: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -226,9 +254,33 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame
                 leaf = assign(tree, lifted(vectors(batch.column(1), wide)[0]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf)], names=["vec_id", "embedding", "leaf"])
 
-    index = scratch.write(rows.mapInArrow(indexed, "vec_id long, embedding array<double>, leaf long"))
-    # one number per leaf; the tree, and so their count, is bounded by the sample
-    held = {r.leaf: r.n for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    def index_by_tree() -> DataFrame:
+        return rows.mapInArrow(indexed, "vec_id long, embedding array<double>, leaf long")
+
+    def split(table: pa.Table) -> pa.Table:
+        x = lifted(vectors(table["embedding"], wide)[0])
+        own = _split(x[np.argsort(table["vec_id"].to_numpy())], BRANCHES, np.random.default_rng(5))
+        centres = [] if own is None else [x[np.argsort(table["vec_id"].to_numpy())][own == c].mean(0).tolist() for c in np.unique(own)]
+        return pa.table({"leaf": table["leaf"].slice(0, len(centres)), "centre": pa.array(centres, pa.list_(pa.float64()))})
+
+    settled: set[int] = set()
+    while True:
+        # one number per leaf, of which there are at most about MOST_LEAVES
+        held = {r.leaf: r.n for r in index_by_tree().groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+        large = [(leaf, n) for leaf, n in held.items() if n > SPLIT_ROWS and leaf not in settled]
+        if not large or tree.leaves + BRANCHES * len(large) > MOST_LEAVES:
+            break
+        rates = spark.createDataFrame([(leaf, max(1, int(min(1.0, SPLIT_SAMPLE / n) * (1 << 30)))) for leaf, n in large], "leaf long, rate long")
+        own = index_by_tree().join(F.broadcast(rates), "leaf").where(F.pmod(F.xxhash64("vec_id", F.lit("split")), F.lit(1 << 30)) < F.col("rate"))
+        found: dict[int, list] = {}
+        for r in own.select("leaf", "vec_id", "embedding").groupBy("leaf").applyInArrow(split, "leaf long, centre array<double>").collect():
+            found.setdefault(r.leaf, []).append(r.centre)
+        for leaf, _ in large:
+            if len(found.get(leaf, [])) > 1:
+                tree.split(leaf, np.array(sorted(found[leaf])))
+            else:
+                settled.add(leaf)  # its rows cannot be told apart
+    index = scratch.write(index_by_tree())
 
     # calibration: exact answers of a few queries, and at which visit their leaves come up
     probe = some(asked, CALIBRATION, wanted.n)
@@ -249,8 +301,6 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame
     visit = sorted(order[r.q].index(leaf) for r in truth for leaf in r.leaves)
     visits = visit[min(len(visit) - 1, int(np.ceil(TARGET * len(visit))))] + 1 if visit else tree.leaves
 
-    q_parts = -(-wanted.n // BLOCK)
-
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per query the leaves it visits: the calibrated number, and on until they hold ``k`` others."""
         for batch in batches:
@@ -266,13 +316,28 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame
                     plans.append(plan)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(plans, pa.list_(pa.int64()))], names=["vec_id", "embedding", "leaves"])
 
+    plans = scratch.write(asked.mapInArrow(walked, "vec_id long, embedding array<double>, leaves array<long>"))
+    begun = {r.leaf: r.n for r in plans.groupBy(F.col("leaves")[0].alias("leaf")).agg(F.count("*").alias("n")).collect()}
+    # neighbouring first leaves share a part until it has a block of queries; a crowded one has several parts
+    groups, filled = [], BLOCK
+    part = -1
+    for leaf in tree.in_order():
+        n = begun.get(leaf, 0)
+        if n:
+            if filled + n > BLOCK:
+                part, filled = part + 1, 0
+            several = -(-n // BLOCK)
+            groups.append((leaf, part, several))
+            part, filled = part + several - 1, filled + n if several == 1 else BLOCK
+    groups = spark.createDataFrame(groups, "leaf long, q_from long, q_several long")
     sizes = spark.createDataFrame([(leaf, -(-n // BLOCK)) for leaf, n in held.items()], "leaf long, parts long")
-    q_part = F.pmod(F.xxhash64("vec_id"), F.lit(q_parts))
-    plans = asked.mapInArrow(walked, "vec_id long, embedding array<double>, leaves array<long>")
-    plans = plans.select("vec_id", "embedding", q_part.alias("q_part"), F.explode("leaves").alias("leaf")).join(F.broadcast(sizes), "leaf")
-    plans = plans.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    blocks = index.join(F.broadcast(sizes), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    blocks = blocks.withColumn("q_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_parts - 1).cast("long"))))
+    plans = plans.withColumn("leaf", F.col("leaves")[0]).join(F.broadcast(groups), "leaf")
+    q_part = F.col("q_from") + F.pmod(F.xxhash64("vec_id"), F.col("q_several"))
+    plans = plans.select("vec_id", "embedding", q_part.alias("q_part"), F.explode("leaves").alias("leaf"))
+    visited = scratch.write(plans.select("leaf", "q_part").distinct().join(F.broadcast(sizes), "leaf"))
+    plans = plans.join(F.broadcast(sizes), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    few = F.broadcast if visited.count() <= _FEW else (lambda df: df)
+    blocks = index.join(few(visited), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
 
     def met(block: pa.Table, asking: pa.Table) -> pa.Table:
         ids, scores = [], []
