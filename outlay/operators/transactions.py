@@ -159,6 +159,34 @@ def categorize_keywords(
     )
 
 
+PAGE_BLOCK_ROWS, PAGE_BLOCKS = 100_000, 10_000
+
+
+def filtered(df: DataFrame, category: str | None = None, anomaly: bool | None = None) -> DataFrame:
+    """The rows that pages are made of."""
+    if category is not None:
+        df = df.where(F.col("category") == category)
+    if anomaly is not None:
+        df = df.where(F.col("is_anomaly") == anomaly)
+    return df
+
+
+def page_blocks(df: DataFrame, block_rows: int = PAGE_BLOCK_ROWS) -> list[tuple[int, int, int]]:
+    """``(first, last, rows)`` of ranges of ``seq`` in order: at most about ``PAGE_BLOCKS``, of ``block_rows`` rows or more each.
+
+    Kept beside a table it lets every page be read from one or two ranges.
+    """
+    n = df.count()
+    parts = min(-(-n // block_rows), PAGE_BLOCKS)
+    if parts <= 1:
+        cuts = []
+    else:
+        cuts = df.agg(F.percentile_approx("seq", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
+    block = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("seq"))) if cuts else F.lit(0)
+    ranges = df.groupBy(block.alias("block")).agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n"))
+    return [(r.first, r.last, r.n) for r in ranges.select("first", "last", "n").orderBy("first").collect()]
+
+
 def page(
     df: DataFrame,
     page_no: int = 1,
@@ -166,18 +194,29 @@ def page(
     category: str | None = None,
     anomaly: bool | None = None,
     after: int | None = None,
+    blocks: list[tuple[int, int, int]] | None = None,
 ) -> DataFrame:
     """One page of the filtered table in input order (``seq``), with the total rows and pages on each row.
 
-    ``after``, the last ``seq`` of the page before, makes a deep page as cheap as the first; without
-    it the rows ahead of the page are counted off.
+    ``after``, the last ``seq`` of the page before, makes a deep page as cheap as the first. Without it the
+    ranges of ``page_blocks`` (of the filtered rows; counted if not given) tell where the page begins: rows of other ranges
+    are neither sorted nor moved.
     """
-    if category is not None:
-        df = df.where(F.col("category") == category)
-    if anomaly is not None:
-        df = df.where(F.col("is_anomaly") == anomaly)
-    total = df.agg(F.count("*")).scalar()
-    rest = df.orderBy("seq").offset((page_no - 1) * limit) if after is None else df.where(F.col("seq") > after).orderBy("seq")
+    df = filtered(df, category, anomaly)
+    if after is not None:
+        total, rest = df.agg(F.count("*")).scalar(), df.where(F.col("seq") > after).orderBy("seq")
+    else:
+        blocks = page_blocks(df) if blocks is None else blocks
+        total, skip = F.lit(sum(n for _, _, n in blocks)).cast("long"), (page_no - 1) * limit
+        upto, met = 0, []
+        for first, last, n in blocks:
+            if upto < skip + limit and skip < upto + n:
+                met.append((first, last, upto))
+            upto += n
+        if met:
+            rest = df.where(F.col("seq").between(met[0][0], met[-1][1])).orderBy("seq").offset(skip - met[0][2])
+        else:
+            rest = df.where("false")
     return (
         rest.limit(limit)
         .withColumn("total_count", total)

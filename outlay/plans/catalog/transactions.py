@@ -268,6 +268,21 @@ def transactions_page(spark, sf):
     )
 
 
+@query(
+    with_views(
+        """select seq, vendor, (select count(*) from v_txn) as total_count from (select * from v_txn order by seq)
+ offset (select (count(*) - 1) // 50 * 50 from v_txn)""",
+        "v_txn",
+    )
+)
+def transactions_last_page(spark, sf):
+    """The last page of all transactions, read from the ranges that hold it."""
+    rows = view(spark, sf, "v_txn")
+    blocks = T.page_blocks(rows, 1_000)
+    last = (sum(n for _, _, n in blocks) + 49) // 50
+    return T.page(rows, page_no=last, blocks=blocks).select("seq", "vendor", "total_count")
+
+
 @query(
     with_views(
         """select id, vendor, strftime(d, '%Y-%m-%d') as date, hour, round(amount, 2) as amount,

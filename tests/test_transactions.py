@@ -163,3 +163,9 @@ def test_pages_follow_the_input_order(spark):
     page = T.page(df, page_no=3).collect()
     assert [r.seq for r in page] == list(range(100, 150)) and page[0].id == "txn_100"
     assert [r.seq for r in T.page(df, after=1049).collect()] == list(range(1050, 1100))
+    blocks = T.page_blocks(df, 100)
+    assert 8 <= len(blocks) <= 12 and sum(n for _, _, n in blocks) == 1100
+    for page_no, want in ((1, range(50)), (13, range(600, 650)), (22, range(1050, 1100)), (23, range(0))):
+        rows = T.page(df, page_no=page_no, blocks=blocks).collect()
+        assert [r.seq for r in rows] == list(want) and {(r.total_count, r.total_pages) for r in rows} <= {(1100, 22)}
+    assert T.page(df.where("false")).collect() == []
