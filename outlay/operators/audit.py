@@ -175,12 +175,22 @@ def fraud_alert_events(log: DataFrame, severity: str | None = None, start: str |
     return found
 
 
-def compliance_summary(log: DataFrame, start: str, end: str, alert_type: str = "fraud_alert") -> DataFrame:
-    """One row; users are counted from one row per user."""
-    per_user = search(log, start, end).groupBy(F.coalesce("user_id", F.lit("unknown")).alias("user_id")).agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("status") == "failure").alias("failed"),
-        F.count_if(F.col("event_type") == alert_type).alias("alerts"),
+def activity(log: DataFrame) -> DataFrame:
+    """``(event_date, user_id, event_type, status, n)``: the part of the log that reports count from. Parts of several logs, or of
+    the batches of an ingest, add up: a report merges them and reads no event again."""
+    unknown = F.lit("unknown")
+    return log.groupBy(
+        "event_date", F.coalesce("user_id", unknown).alias("user_id"), F.coalesce("event_type", unknown).alias("event_type"), "status"
+    ).agg(F.count("*").alias("n"))
+
+
+def compliance_of(parts: DataFrame, start: str, end: str, alert_type: str = "fraud_alert") -> DataFrame:
+    """One row from ``activity`` parts; users are counted from one row per user."""
+    n = F.col("n")
+    per_user = search(parts, start, end).groupBy("user_id").agg(
+        F.sum(n).alias("n"),
+        F.sum(F.when(F.col("status") == "failure", n).otherwise(0)).alias("failed"),
+        F.sum(F.when(F.col("event_type") == alert_type, n).otherwise(0)).alias("alerts"),
     )
     return per_user.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_events"),
@@ -190,6 +200,11 @@ def compliance_summary(log: DataFrame, start: str, end: str, alert_type: str = "
     )
 
 
+def compliance_summary(log: DataFrame, start: str, end: str, alert_type: str = "fraud_alert") -> DataFrame:
+    """One row of counts over whole days."""
+    return compliance_of(activity(search(log, start, end)), start, end, alert_type)
+
+
 def event_labels(spark) -> DataFrame:
     return spark.createDataFrame(list(EVENT_TYPES.items()), "event_type string, label string")
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from outlay.config import FraudConfig
 from outlay.operators import fraud as R
+from outlay.operators.audit import activity
 from outlay.session import materialize, workers_find_package
 from outlay.sources.files import TIME_FORMAT
 from outlay.streaming.fraud_state import answers, asks
@@ -28,11 +29,14 @@ def batch_path(path: str, batch_id: int) -> str:
     return f"{path.rstrip('/')}/batch={batch_id}"
 
 
-def ingest_audit(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def ingest_audit(stream: DataFrame, path: str, checkpoint: str, activity_path: str | None = None) -> StreamingQuery:
     """Append arriving audit rows. A batch writes its own folder anew, so that a batch that
-    is repeated after a failure leaves no row twice."""
+    is repeated after a failure leaves no row twice. With ``activity_path`` each batch also leaves what reports
+    count from (``audit.activity``), so that they need not read the log."""
 
     def write(rows: DataFrame, batch_id: int) -> None:
+        if activity_path is not None:
+            activity(rows).write.mode("overwrite").parquet(batch_path(activity_path, batch_id))
         rows.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date").option(
             "timestampFormat", TIME_FORMAT
         ).json(batch_path(path, batch_id))
