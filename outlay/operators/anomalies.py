@@ -297,13 +297,7 @@ def _judge(df: DataFrame, cfg: AnomalyConfig) -> DataFrame:
         df.withColumn("flags", flags)
         .withColumn("anomaly_score", F.least(points, F.lit(cfg.score_cap)))
         .withColumn("is_anomaly", F.col("anomaly_score") >= cfg.medium_score)
-        .withColumn(
-            "anomaly_reasons",
-            F.when(
-                F.col("is_anomaly") & (F.size(texts) == 0),
-                F.array(F.lit("Anomaly detected based on statistical analysis")),
-            ).otherwise(texts),
-        )
+        .withColumn("anomaly_reasons", texts)
         .withColumn(
             "confidence",
             F.when(F.col("anomaly_score") >= cfg.high_score, "High")

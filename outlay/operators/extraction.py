@@ -163,17 +163,31 @@ def parse_layout(docs: DataFrame, as_of: Column | None = None) -> DataFrame:
 
 
 def with_fallback(docs: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Add what the pattern pass finds: ``fb_vendor, fb_number, fb_d, fb_amounts, fb_items``."""
+    """Add what the pattern pass finds: ``fb_vendor, fb_number, fb_d, fb_amounts, fb_items``.
+
+    Amounts and items, the dearest patterns, are only looked for where the layout has not found all it can use: amounts where
+    one is missing, items where there are none or they do not add up to the stated amount.
+    """
     text = F.col("text")
     return (
         docs.withColumn("fb_vendor", X.fallback_vendor(text))
         .withColumn("fb_number", X.fallback_number(text))
         .withColumn("fb_d", X.fallback_date(text, F.current_date() if as_of is None else as_of))
-        .withColumn("fb_amounts", X.fallback_amounts(text))
-        .withColumn("fb_items", X.fallback_items(text))
+        .withColumn("fb_amounts", F.when(_lacks_amounts(), X.fallback_amounts(text)) if "total" in docs.columns else X.fallback_amounts(text))
+        .withColumn("fb_items", F.when(_lacks_items(), X.fallback_items(text)) if "line_items" in docs.columns else X.fallback_items(text))
     )
 
 
+def _lacks_amounts() -> Column:
+    return F.col("total").isNull() | F.col("subtotal").isNull() | F.col("tax").isNull()
+
+
+def _lacks_items() -> Column:
+    """No items, an amount that is not known yet, or another sum than the stated one."""
+    target = F.coalesce("subtotal", "total")
+    return (F.size("line_items") == 0) | F.col("subtotal").isNull() | F.coalesce(items_total("line_items") != target, F.lit(True))
+
+
 def extract_invoices(docs: DataFrame, as_of: Column | None = None) -> DataFrame:
     """One invoice per document: layout fields, filled from the pattern pass where missing."""
     df = with_fallback(parse_layout(docs, as_of), as_of)

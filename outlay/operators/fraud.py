@@ -67,6 +67,11 @@ def _alert(kind: str, evidence: list[Column], occurrences: Column | None = None)
     )
 
 
+def _block_of(df: DataFrame) -> list[str]:
+    """The column of order blocks, if the rows have been cut into blocks already."""
+    return ["_block"] if "_block" in df.columns else []
+
+
 def prepare(invoices: DataFrame) -> DataFrame:
     """Lower-case vendors; empty texts and zero amounts count as missing."""
     df = invoices.withColumn("vendor", F.lower(F.coalesce("vendor", F.lit(""))))
@@ -160,7 +165,7 @@ def duplicate_alerts(invoices: DataFrame) -> DataFrame:
     """Same vendor and number as earlier invoices."""
     df = prepare(invoices).where(present("invoice_number"))
     counted = running_before(
-        df.select("invoice_id", "seq", "vendor", "invoice_number"),
+        df.select("invoice_id", "seq", "vendor", "invoice_number", *_block_of(df)),
         ["vendor", "invoice_number"], "seq", {"n_before": F.lit(1).cast("long")},
     ).where("n_before > 0")
     return duplicate_rows(counted)
@@ -207,7 +212,7 @@ def near_duplicates(invoices: DataFrame, cfg: FraudConfig = FraudConfig()) -> Da
     base = (
         prepare(invoices)
         .where(F.coalesce(F.col("total") != 0, F.lit(False)) & F.col("d").isNotNull())
-        .select("invoice_id", "seq", "vendor", "total", "d")
+        .select("invoice_id", "seq", "vendor", "total", "d", *_block_of(invoices))
     )
     key = ["vendor", "total", "d"]
     triples = base.groupBy(*key).agg(
@@ -245,7 +250,7 @@ def near_duplicates(invoices: DataFrame, cfg: FraudConfig = FraudConfig()) -> Da
     whole = pairs.where("before").groupBy(*key).agg(F.sum("n").alias("n_whole"))
     mixed = pairs.where(~F.col("before"))
     sizes = triples.select(*key, "n")
-    blocked = with_block(base, "seq")
+    blocked = base if "_block" in base.columns else with_block(base, "seq")
     queries = lookup(blocked, _sized(mixed.groupBy(*key).agg(F.collect_set(F.struct("total2", "d2")).alias("others")), sizes, key), key, "n", ["seq"])
     asks = queries.select(
         "vendor", F.explode("others").alias("o"), "seq", "_block", "invoice_id"
@@ -353,9 +358,9 @@ def amount_history(invoices: DataFrame) -> DataFrame:
 
     Sums are taken of amounts shifted by the vendor's mean, so that squares do not cancel.
     """
-    df = prepare(invoices).select("invoice_id", "seq", "vendor", "total")
+    df = prepare(invoices).select("invoice_id", "seq", "vendor", "total", *_block_of(invoices))
     means = df.groupBy("vendor").agg(F.avg("total").alias("centre"), F.count("*").alias("n_rows"))
-    blocked = with_block(df, "seq")
+    blocked = df if "_block" in df.columns else with_block(df, "seq")
     shifted = lookup(blocked, means, ["vendor"], "n_rows", ["seq"]).withColumn(
         "x", F.col("total") - F.col("centre")
     )
@@ -458,7 +463,9 @@ def unpaid_alerts(invoices: DataFrame, transactions: DataFrame, cfg: FraudConfig
 def alerts(
     invoices: DataFrame, transactions: DataFrame | None = None, cfg: FraudConfig = FraudConfig()
 ) -> DataFrame:
-    """All alerts of all rules; ids are hashes of the content."""
+    """All alerts of all rules; ids are hashes of the content. The invoices are written once, in blocks of their order,
+    for the rules that look back."""
+    invoices = with_block(invoices, "seq")
     found = document_alerts(invoices, cfg)
     for more in (
         duplicate_alerts(invoices),
