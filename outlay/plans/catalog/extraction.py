@@ -191,3 +191,69 @@ def extract_invoice(spark, sf):
     return E.extract_invoices(documents(spark, sf), as_of()).select(
         "doc_id", "vendor", "invoice_number", "d", "total", "subtotal", "tax", "n_items", "parser_used"
     )
+
+
+def layouts(spark, sf):
+    """Every order as a text in one of eight layouts, chosen by the key; the last one names its vendor in a line about the customer in every other text.
+
+    Labels, kinds of numbers, ways to write dates, items of one to four numbers, cents without a point, items that do not
+    add up, a second page, no total, no footer, no items.
+    """
+    k = F.col("k").cast("string")
+    amount = {n: F.concat(F.lit("$"), money(n)) for n in ("s", "t", "g", "y", "z", "rest", "x", "x2", "p")}
+
+    def cents(name):
+        return F.concat(F.lit("$"), F.round(F.col(name) * 100).cast("long").cast("string"))
+
+    def line(*parts):
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    def date(pattern):
+        return F.date_format("d", pattern)
+
+    head = F.lit("Item  Qty  Price  Total")
+    footer = (line("Subtotal: ", amount["s"]), line("Tax: ", amount["t"]), line("Total: ", amount["g"]))
+    suffix = F.when(F.dayofmonth("d").isin(1, 21, 31), "st").when(F.dayofmonth("d").isin(2, 22), "nd").when(F.dayofmonth("d").isin(3, 23), "rd").otherwise("th")
+    two = (line("gamma rods 2 ", amount["y"], " ", amount["z"]), line("delta kits 1 ", amount["rest"], " ", amount["rest"]))
+    kinds = [
+        (line("Invoice from: ", F.col("vendor")), line("Invoice No: IN-", k), line("Date: ", date("yyyy.MM.dd")), head,
+         line("alpha cable 3 ", amount["x"]), line("beta panel 4 ", amount["x2"]), footer[0], line("VAT (20%): ", amount["t"]), footer[2]),
+        (F.col("vendor"), line("PO #: 77-", k), line("Dated: ", date("MMMM d"), suffix, ", ", date("yyyy")), head, *two, *footer[:2]),
+        (F.col("vendor"), line("Ref # RF-", k), line("Date: ", date("yyyy-MM-dd")), head, line("service fee ", amount["x"]),
+         line("pack 12 lamps 3 ", amount["p"], " ", amount["x2"]), *footer),
+        (F.col("vendor"), line("Bill No: BL-", k), line("Issued on ", date("MMM d, yyyy")), head, line("epsilon tubes 2 ", cents("y"), " ", cents("z")),
+         line("delta kits 1 ", cents("rest"), " ", cents("rest")), footer[0], line("GST: ", amount["t"]), line("Amount due: ", amount["g"])),
+        (F.col("vendor"), line("Inv. ", "#IV", k), line("Date: ", date("MM/dd/yyyy")), head, two[0], *footer),
+        (F.lit("Page 1"), F.col("vendor"), line("Invoice #: PG-", k), line("Date: ", date("yyyy/M/d")), head, two[0], F.lit("--- Page 2 ---"), F.lit(""), head, two[1], *footer),
+        (F.col("vendor"), line("Order No: ORD-", k), line("Delivered ", date("d MMMM yyyy")), head, *two),
+        (F.when(F.col("k") % 16 == 15, line("Customer from: ", F.col("vendor"))).otherwise(F.col("vendor")), line("Invoice #: DC-", k),
+         line("Date: ", date("MM/dd/yyyy")), *footer),
+    ]
+    text = F.lit(None)
+    for kind, lines in enumerate(kinds):
+        text = F.when(F.col("kind") == kind, F.concat_ws("\n", *lines)).otherwise(text)
+    return view(spark, sf, "v_layout").select(F.col("k").alias("doc_id"), text.alias("text"))
+
+
+@query(
+    with_views(
+        """with told as (select *, kind = 7 and k % 16 = 15 as bare,
+  case kind when 0 then 'IN-' when 1 then '77-' when 2 then 'RF-' when 3 then 'BL-' when 4 then 'IV' when 5 then 'PG-' when 6 then 'ORD-' else 'DC-' end || k as number,
+  case kind when 0 then 0.8 when 2 then 0.85 when 7 then 0.4 else 1.0 end as items,
+  case kind when 4 then z when 7 then 0 when 2 then round(x + round(3 * p, 2), 2) else s end as items_sum from v_layout),
+rated as (select *, case when kind = 0 or bare then 0.3 else 0.9 end * 0.25 + case when kind in (1, 6, 7) then 0.3 else 0.95 end * 0.3 + items * 0.25
+  + case when kind in (1, 4, 6) then 0.05 else 0.09 end + case when kind in (1, 6) or read_d is null then 0.05 else 0.09 end as confidence from told)
+select k as doc_id, vendor, case when regexp_extract(number, '20\\d{2}') <> cast(year(read_d) as varchar)
+  and regexp_extract(number, '20\\d{2}')[1:3] = cast(year(read_d) as varchar)[1:3]
+  then regexp_replace(number, '20\\d{2}', cast(year(read_d) as varchar)) else number end as invoice_number, read_d as d,
+ case kind when 1 then s when 6 then greatest(z, rest) else g end as total, case kind when 4 then s when 7 then s else items_sum end as subtotal,
+ case kind when 6 then null else t end as tax, case kind when 4 then 1 when 7 then 0 else 2 end as n_items, items_sum, round(confidence, 6) as confidence,
+ case when confidence < 0.5 then 'fallback' else 'hybrid' end as parser_used from rated""",
+        "v_layout",
+    )
+)
+def extract_layouts(spark, sf):
+    return E.extract_invoices(layouts(spark, sf), as_of()).select(
+        "doc_id", "vendor", "invoice_number", "d", "total", F.round("subtotal", 2).alias("subtotal"), "tax", "n_items", "items_sum",
+        F.round("confidence", 6).alias("confidence"), "parser_used",
+    )

@@ -73,12 +73,18 @@ select i.k, case when i.k % 8 = 5 then concat(i.vendor, ' international procurem
  round(s.subtotal + round(s.subtotal * 0.05 + 0.0001, 2), 2) as total, s.n_items
  from v_inv0 i join (select k, round(sum(line_total), 2) as subtotal, count(*) as n_items from v_lines group by k) s
  on s.k = i.k""",
+    "v_layout": """
+select k, k % 8 as kind, replace(vendor, '_', ' ') as vendor, d, case when d between date '1990-01-03' and date '2000-01-01' then d end as read_d, s, t, round(s + t, 2) as g,
+ y, round(2 * y, 2) as z, round(s - 2 * y, 2) as rest, x, round(s - x, 2) as x2, round((s - x) / 3 + 0.0001, 2) as p
+ from (select *, round(s * 0.2 + 0.0001, 2) as t, floor(s * 0.3) + 0.25 as y, round(s * 0.6 + 0.0001, 2) as x
+  from (select *, round(coalesce(subtotal, 1000 + k % 500) + 0.0001, 2) as s from v_inv0) a) b""",
 }
 
 NEEDS: dict[str, tuple[str, ...]] = {
     "v_inv": ("v_inv0",),
     "v_bank": ("v_inv0",),
     "v_doc": ("v_inv0", "v_lines"),
+    "v_layout": ("v_inv0",),
 }
 
 
