@@ -9,6 +9,7 @@ from pyspark.sql.types import ArrayType, DataType, DateType, DoubleType, FloatTy
 
 from outlay.functions.text import strip
 from outlay.operators.skew import row_index
+from outlay.session import materialize
 
 # The category keywords and the category of everything else.
 CATEGORY_KEYWORDS: dict[str, list[str]] = {
@@ -159,6 +160,8 @@ def categorize_keywords(
     )
 
 
+#: Arriving contents whose hashes are broadcast.
+ARRIVING_FEW = 200_000
 PAGE_BLOCK_ROWS, PAGE_BLOCKS = 100_000, 10_000
 
 
@@ -263,7 +266,16 @@ def append(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def new_documents(arriving: DataFrame, known: DataFrame) -> DataFrame:
-    """One row per distinct content among those whose hash is not known yet."""
+    """One row per distinct content among those whose hash is not known yet.
+
+    Known hashes are first reduced to those that arrive again: the arriving ones are broadcast up to ``ARRIVING_FEW``, and
+    the known ones, of which there may be very many more, are filtered where they lie. What is shuffled follows the arriving
+    contents. Larger arrivals are joined by hash.
+    """
     hashed = arriving.withColumn("file_hash", F.sha2(F.col("content"), 256))
     first = hashed.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    return first.join(known.select("file_hash"), "file_hash", "left_anti")
+    first = materialize(first, "arrived")
+    hashes = first.select("file_hash")
+    few = F.broadcast if first.count() <= ARRIVING_FEW else (lambda df: df)
+    again = known.select("file_hash").join(few(hashes), "file_hash", "left_semi").distinct()
+    return first.join(few(again), "file_hash", "left_anti")

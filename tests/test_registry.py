@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 QUICK = (
     "validate_input clean_transactions engineer_features categorize_keywords anomaly_duplicate anomaly_scores cost_spikes "
     "subscriptions dashboard_summary fraud_duplicate fraud_near_duplicate fraud_no_transaction close_vendors "
-    "audit_scan compliance_summary extract_totals stream_daily_counts dedupe_by_content"
+    "audit_scan compliance_summary extract_totals extract_layouts stream_daily_counts dedupe_by_content transactions_last_page scan_transactions"
 ).split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

@@ -169,3 +169,14 @@ def test_pages_follow_the_input_order(spark):
         rows = T.page(df, page_no=page_no, blocks=blocks).collect()
         assert [r.seq for r in rows] == list(want) and {(r.total_count, r.total_pages) for r in rows} <= {(1100, 22)}
     assert T.page(df.where("false")).collect() == []
+
+
+def test_new_documents_read_known_hashes_where_they_lie(spark, monkeypatch):
+    arriving = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c"), (5, None)], "doc_id int, content string")
+    known = spark.createDataFrame([("b",), ("x",), ("b",), (None,)], "content string").select(F.sha2("content", 256).alias("file_hash"))
+    want = sorted([(1, 2), (4, 1), (5, 1)])
+    for few in (T.ARRIVING_FEW, 0):
+        monkeypatch.setattr(T, "ARRIVING_FEW", few)
+        assert sorted((r.doc_id, r.copies) for r in T.new_documents(arriving, known).collect()) == want
+    plan = T.new_documents(arriving, known)._jdf.queryExecution().toString()
+    assert T.new_documents(arriving.where("false"), known).collect() == [] and "LeftAnti" in plan
