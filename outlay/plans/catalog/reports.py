@@ -41,13 +41,14 @@ insights as (select *, row_number() over (order by importance_score desc, kind_r
 SHOWN = "type, severity, subject, round(impact_amount + 0.0001, 2) as impact_amount, round(importance_score, 6) as importance_score"
 
 
-def _shown(df):
+def _shown(df, *more):
     return df.select(
         "type",
         "severity",
         "subject",
         F.round(F.col("impact_amount") + 0.0001, 2).alias("impact_amount"),
         F.round("importance_score", 6).alias("importance_score"),
+        *more,
     )
 
 
@@ -56,9 +57,13 @@ def cost_spikes(spark, sf):
     return _shown(I.cost_spikes(view(spark, sf, "v_txn")))
 
 
-@query(with_views(f"with {subs_sql('v_charges')} select {SHOWN} from subs", "v_charges"))
+TITLE = "upper(subject[1:1]) || subject[2:] || ' takes $' || printf('%.2f', unit_amount) || ' a month'"
+
+
+@query(with_views(f"with {subs_sql('v_charges')} select {SHOWN}, {TITLE} as title from subs", "v_charges"))
 def subscriptions(spark, sf):
-    return _shown(I.subscriptions(view(spark, sf, "v_charges")))
+    found = I.subscriptions(view(spark, sf, "v_charges"))
+    return _shown(found, "title")
 
 
 @query(with_views(f"with {SCORED}, {SUMMARY} select {SHOWN}, round(unit_amount, 4) as pct from summary", "v_txn"))
