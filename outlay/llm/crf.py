@@ -83,6 +83,34 @@ class Chain:
         ahead, back, total = self.messages(emit, lengths)
         return np.exp(np.minimum(ahead + back - np.repeat(total, lengths)[:, None], 0))
 
+    def second_state(self, odds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The marginals of the second of two states, from each token's emission odds between them.
+
+        With two states a message is one number, the odds of the second state, and both recursions are fractions of
+        it: no logarithm and no exponential per token.
+        """
+        w = np.exp(self.move - self.move.max())
+        order, starts, alive = _places(lengths)
+        counts = list(alive)
+        ahead, out = np.empty_like(odds), np.empty_like(odds)
+        for t, n in enumerate(counts):
+            at = starts[:n] + t
+            if t == 0:
+                now = odds[at] * np.exp(self.first[1] - self.first[0])
+            else:
+                now = now[:n]
+                now = odds[at] * (w[0, 1] + w[1, 1] * now) / (w[0, 0] + w[1, 0] * now)
+            ahead[at] = now
+        back = np.empty(0)
+        for t in range(len(counts) - 1, -1, -1):
+            at = starts[: counts[t]] + t
+            after = odds[at[: len(back)] + 1] * back
+            after = (w[1, 0] + w[1, 1] * after) / (w[0, 0] + w[0, 1] * after)
+            back = np.concatenate([after, np.full(counts[t] - len(after), np.exp(self.last[1] - self.last[0]))])
+            both = ahead[at] * back
+            out[at] = both / (1 + both)
+        return out
+
     def viterbi(self, emit: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The best state of every token; ties (within ``TIE``) go to the smaller state."""
         best, came = np.empty_like(emit), np.zeros(emit.shape, np.int64)

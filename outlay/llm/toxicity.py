@@ -9,6 +9,7 @@ to the document's score, and runs of likely tokens are the offending offsets.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -144,15 +145,16 @@ class ToxicModel:
 
 
 class _Words(dict):
-    """Number of each word met, with its emission and whether it ends a sentence."""
+    """Number of each word met, with its emission odds and whether it ends a sentence."""
 
     def __init__(self, weights: np.ndarray) -> None:
         super().__init__()
-        self.weights, self.emit, self.ends = weights, [], []
+        self.weights, self.odds, self.ends = weights, [], []
 
     def __missing__(self, token: str) -> int:
-        number = self[token] = len(self.emit)
-        self.emit.append(float(self.weights[hashed(token_features(token))].sum()))
+        number = self[token] = len(self.odds)
+        # beyond such weights a chance is 0 or 1 in any sum of doubles
+        self.odds.append(math.exp(min(max(float(self.weights[hashed(token_features(token))].sum()), -80.0), 80.0)))
         self.ends.append(token[-1] in ".!?")
         return number
 
@@ -165,11 +167,9 @@ def token_chances(model: ToxicModel, texts: list[str], words: _Words) -> list[np
     if not total:
         return [np.empty(0) for _ in texts]
     number = np.fromiter((n for t in tokens for n in map(words.__getitem__, t)), np.int64, total)
-    emit = np.zeros((total, 2))
-    emit[:, 1] = np.array(words.emit)[number]
     last = np.zeros(total, bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
-    chance = model.chain.marginals(emit, cut(np.array(words.ends)[number], last))[:, 1]
+    chance = model.chain.second_state(np.array(words.odds)[number], cut(np.array(words.ends)[number], last))
     return np.split(chance, np.cumsum(sizes)[:-1])
 
 

@@ -227,6 +227,15 @@ def test_masking(spark):
     assert sorted(map(tuple, out.collect())) == sorted([(1, "mail <EMAIL> now", "en", "s", 16), rows[1], rows[2], (4, "from <IP>", "x", "y", 9)])
 
 
+def test_second_state_equals_the_marginals():
+    rng = np.random.default_rng(8)
+    lengths = rng.integers(1, 30, 200)
+    chain = Chain(rng.normal(size=(2, 2)) * 3, rng.normal(size=2), rng.normal(size=2))
+    emit = np.zeros((lengths.sum(), 2))
+    emit[:, 1] = rng.normal(size=lengths.sum()) * 12
+    assert np.abs(chain.second_state(np.exp(emit[:, 1]), lengths) - chain.marginals(emit, lengths)[:, 1]).max() < 1e-9
+
+
 def test_chain_against_all_paths():
     rng = np.random.default_rng(3)
     k, lengths = 3, np.array([4, 1, 3, 4])
