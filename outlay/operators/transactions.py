@@ -177,7 +177,8 @@ def filtered(df: DataFrame, category: str | None = None, anomaly: bool | None =
 def page_blocks(df: DataFrame, block_rows: int = PAGE_BLOCK_ROWS) -> list[tuple[int, int, int]]:
     """``(first, last, rows)`` of ranges of ``seq`` in order: at most about ``PAGE_BLOCKS``, of ``block_rows`` rows or more each.
 
-    Kept beside a table it lets every page be read from one or two ranges.
+    Kept beside a table it lets every page be read from one or two ranges. A row's range is searched for among the sorted cuts,
+    and ranges are counted in each batch before anything is shuffled.
     """
     n = df.count()
     parts = min(-(-n // block_rows), PAGE_BLOCKS)
@@ -185,8 +186,27 @@ def page_blocks(df: DataFrame, block_rows: int = PAGE_BLOCK_ROWS) -> list[tuple[
         cuts = []
     else:
         cuts = df.agg(F.percentile_approx("seq", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
-    block = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("seq"))) if cuts else F.lit(0)
-    ranges = df.groupBy(block.alias("block")).agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n"))
+    cuts, kind = sorted(set(cuts)), df.schema["seq"].dataType.simpleString()
+
+    def counted(batches):
+        """First, last and number of the rows of each block in a batch; rows without ``seq`` count to the first block."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            seq = batch.column(0)
+            known = pc.drop_null(seq)
+            block = np.searchsorted(cuts, known.to_numpy(zero_copy_only=False), "left").astype(np.int32)
+            table = pa.table({"block": pa.array(block), "seq": known}).group_by("block").aggregate([("seq", "min"), ("seq", "max"), ("seq", "count")])
+            for part in table.select(["block", "seq_min", "seq_max", "seq_count"]).rename_columns(["block", "first", "last", "n"]).to_batches():
+                yield part
+            if seq.null_count:
+                none = pa.nulls(1, seq.type)
+                yield pa.record_batch({"block": pa.array([0], pa.int32()), "first": none, "last": none, "n": pa.array([seq.null_count])})
+
+    parts = df.select("seq").mapInArrow(counted, f"block int, first {kind}, last {kind}, n long")
+    ranges = parts.groupBy("block").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
     return [(r.first, r.last, r.n) for r in ranges.select("first", "last", "n").orderBy("first").collect()]
 
 

@@ -180,3 +180,11 @@ def test_new_documents_read_known_hashes_where_they_lie(spark, monkeypatch):
         assert sorted((r.doc_id, r.copies) for r in T.new_documents(arriving, known).collect()) == want
     plan = T.new_documents(arriving, known)._jdf.queryExecution().toString()
     assert T.new_documents(arriving.where("false"), known).collect() == [] and "LeftAnti" in plan
+
+
+def test_ranges_of_pages_are_searched_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(T.F, "filter", None)  # a filter over all cuts costs rows times ranges
+    rows = spark.range(3000).selectExpr("case when id % 100 = 7 then null else id div 2 end as seq")
+    blocks = T.page_blocks(rows, 10)
+    assert 250 <= len(blocks) <= 301 and sum(n for _, _, n in blocks) == 3000
+    assert blocks[0][0] == 0 and blocks[-1][1] == 1499 and all(a[1] < b[0] for a, b in zip(blocks, blocks[1:]))
