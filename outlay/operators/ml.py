@@ -26,6 +26,8 @@ from outlay.operators.transactions import REVIEW_BELOW, categorize_keywords
 MIN_DOCS = 2
 TREES, DEPTH, MIN_LEAF, SEED = 100, 20, 2, 42
 TEST_SHARE = 0.2
+#: Training rows of a task. Trees are grown from cached parts, which are read again for every level.
+TRAIN_ROWS = 100_000
 WORDS = r"\b\w\w+\b"
 INTERNAL = ("text", "words", "kept", "pairs", "terms", "counts", "tfidf", "unit", "amount_vec", "amount_z")
 
@@ -67,9 +69,15 @@ def split(df: DataFrame, key: str, test_share: float = TEST_SHARE) -> tuple[Data
     return marked.where(F.col("_place") >= test_share).drop("_place"), marked.where(F.col("_place") < test_share).drop("_place")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows in parts of about ``TRAIN_ROWS``, however few files they come from; a table of so many rows stays as it is."""
+    parts = -(-df.count() // TRAIN_ROWS)
+    return df.repartition(parts) if parts > 1 else df
+
+
 def train(df: DataFrame) -> PipelineModel:
     """Fit on rows ``(vendor, description, amount, category)``."""
-    rows = with_text(df)
+    rows = with_text(spread(df))
     labels = StringIndexer(inputCol="category", outputCol="label", handleInvalid="keep").fit(rows)
     forest = RandomForestClassifier(
         labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH,

@@ -147,3 +147,10 @@ def test_stream_scores_invoices_like_one_batch(spark, tmp_path):
     assert got == want and {g[1] for g in got} >= {"duplicate_invoice", "near_duplicate", "inconsistent_invoice_format", "amount_anomaly", "low_ocr_confidence"}
     # the last batch reads its own rows and no earlier ones
     assert job.lastProgress["numInputRows"] == len(rows) - 30
+
+
+def test_training_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(L, "TRAIN_ROWS", 30)
+    one = spark.range(100).coalesce(1)
+    assert L.spread(one).rdd.getNumPartitions() == 4 and L.spread(one).count() == 100
+    assert L.spread(one.where("id < 30")).rdd.getNumPartitions() == 1
