@@ -104,6 +104,12 @@ def first_of(values: Column, cond=lambda v: v.isNotNull()) -> Column:
     return F.get(F.filter(values, cond), F.lit(0))
 
 
+def first_read(text: Column, patterns: tuple[str, ...], read, cond) -> Column:
+    """The first reading that ``cond`` holds for; a pattern is only tried, and its group only read, when those before have failed."""
+    groups = [F.filter(F.array(F.regexp_extract(text, p, 1)), lambda g: g != "") for p in patterns]
+    return F.coalesce(*[first_of(each(g, read), cond) for g in groups])
+
+
 def _date(parts: Column, year: int, month: int, day: int) -> Column:
     """A date from text parts; impossible ones give null without an exception."""
     y = F.get(parts, F.lit(year))
@@ -143,7 +149,7 @@ def is_table_head(line: Column) -> Column:
     low = F.lower(line)
     own = F.array_distinct(F.regexp_extract_all(low, F.lit(ITEM_HEAD_WORDS), F.lit(0)))
     other = F.array_distinct(F.regexp_extract_all(low, F.lit(OTHER_HEAD_WORDS), F.lit(0)))
-    return (F.size(own) >= 1) & (F.size(own) + F.size(other) >= 2) & ~line.rlike(r"\d")
+    return ~line.rlike(r"\d") & (F.size(own) >= 1) & (F.size(own) + F.size(other) >= 2)
 
 
 def numbers_in(line: Column) -> Column:
@@ -172,6 +178,11 @@ def line_item(line: Column, numbers: Column) -> Column:
     """``description, quantity, unit_price, total, confidence`` of an item line."""
     n = F.size(numbers)
     last = F.when(n > 3, F.slice(numbers, -3, 3)).otherwise(numbers)
+    parts = F.struct(description_of(line).alias("text"), last.alias("last"), n.alias("n"))
+    return F.get(each([parts], lambda p: _item(p["text"], p["last"], p["n"])), F.lit(0))
+
+
+def _item(text: Column, last: Column, n: Column) -> Column:
     a, b, c = F.get(last, F.lit(0)), F.get(last, F.lit(1)), F.get(last, F.lit(2))
     two, three = n == 2, n >= 3
     fits = three & _close(a * b, c)
@@ -184,7 +195,6 @@ def line_item(line: Column, numbers: Column) -> Column:
     stated = F.when(three, c).when(two, b).otherwise(a)
     product = F.round(a * b, 2)
     total = F.when(fits & _close(product, stated), product).otherwise(stated)
-    text = description_of(line)
     points = (
         F.lit(0.5)
         + F.when(F.length(text) > 5, 0.2).otherwise(0.0)
@@ -228,22 +238,24 @@ def fallback_items(text: Column) -> Column:
 
 def fallback_vendor(text: Column) -> Column:
     """``struct(vendor, confidence)`` from labels, else from the first line like a name."""
-    labelled = [strip(first_match(text, p)) for p in VENDOR_LABELS]
-    labelled = F.coalesce(*[F.when(F.length(v) > 3, v) for v in labelled])
+    labelled = first_of(F.array(*[strip(F.regexp_extract(text, p, 1)) for p in VENDOR_LABELS]), lambda v: F.length(v) > 3)
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda s: F.length(s) >= 4)
     named = F.get(
         F.filter(lines, lambda s: ~s.rlike(NOT_A_NAME) & ~s.rlike(r"^[\d\s/\-:]+$")), F.lit(0)
     )
-    return F.struct(
-        F.coalesce(labelled, named, F.lit("Unknown")).alias("vendor"),
-        F.when(labelled.isNotNull(), 0.85).when(named.isNotNull(), 0.6).otherwise(0.3).alias("confidence"),
-    )
+
+    def told(f: Column) -> Column:
+        return F.struct(
+            F.coalesce(f["labelled"], f["named"], F.lit("Unknown")).alias("vendor"),
+            F.when(f["labelled"].isNotNull(), 0.85).when(f["named"].isNotNull(), 0.6).otherwise(0.3).alias("confidence"),
+        )
+
+    return F.get(each([F.struct(labelled.alias("labelled"), named.alias("named"))], told), F.lit(0))
 
 
 def fallback_number(text: Column) -> Column:
-    found = each([F.regexp_extract(text, p, 1) for p in ANY_NUMBER], strip)
-    return first_of(
-        found, lambda n: n.rlike(r"\d") & (F.length(n) >= 3) & ~n.rlike(r"^\d{1,2}$")
+    return first_read(
+        text, ANY_NUMBER, strip, lambda n: n.rlike(r"\d") & (F.length(n) >= 3) & ~n.rlike(r"^\d{1,2}$")
     )
 
 
@@ -253,28 +265,23 @@ def in_window(day: Column, as_of: Column) -> Column:
 
 
 def header_date(line: Column, as_of: Column) -> Column:
-    return first_of(each([F.regexp_extract(line, p, 1) for p in HEADER_DATE], parse_date), lambda x: in_window(x, as_of))
+    return first_read(line, HEADER_DATE, parse_date, lambda x: in_window(x, as_of))
 
 
 def header_number(line: Column) -> Column:
-    return first_of(F.array(*[F.regexp_extract(line, p, 1) for p in HEADER_NUMBER]), lambda n: n.rlike(r"\d"))
+    return first_read(line, HEADER_NUMBER, lambda n: n, lambda n: n.rlike(r"\d"))
 
 
 def fallback_date(text: Column, as_of: Column) -> Column:
     """The first date in the window of ``as_of``."""
-    found = each([F.regexp_extract(text, p, 1) for p in ANY_DATE], parse_date)
-    return first_of(found, lambda x: in_window(x, as_of))
+    return first_read(text, ANY_DATE, parse_date, lambda x: in_window(x, as_of))
 
 
 def _first_positive(text: Column, patterns: tuple[str, ...], all_matches: bool) -> Column:
     tries = []
     for pattern in patterns:
-        if all_matches:
-            values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), plain_number)
-            tries.append(F.get(F.filter(values, lambda v: v > 0), F.lit(0)))
-        else:
-            value = plain_number(first_match(text, pattern))
-            tries.append(F.when(value > 0, value))
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if all_matches else F.array(F.regexp_extract(text, pattern, 1))
+        tries.append(first_of(F.transform(found, plain_number), lambda v: v > 0))
     return F.coalesce(*tries)
 
 

@@ -59,8 +59,7 @@ def with_sections(docs: DataFrame) -> DataFrame:
 
 
 def _last(values: Column) -> Column:
-    found = F.array_compact(values)
-    return F.when(F.size(found) > 0, F.element_at(found, -1))
+    return F.try_element_at(F.array_compact(values), F.lit(-1))
 
 
 def with_header_fields(sections: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -111,7 +110,7 @@ def with_totals(sections: DataFrame) -> DataFrame:
 
     def amount(cond) -> Column:
         first = F.get(F.filter("_numbered", lambda p: cond(p["line"])), F.lit(0))["numbers"]
-        return F.when(F.size(first) > 0, F.element_at(first, -1))
+        return F.try_element_at(first, F.lit(-1))
 
     return (
         sections.withColumn("_numbered", numbered)
@@ -131,11 +130,10 @@ def with_valid_items(parsed: DataFrame) -> DataFrame:
     target = F.coalesce("total", "subtotal")
     adds_up = F.coalesce(F.try_divide(F.abs(items_total("line_items") - target), target) < 0.05, F.lit(False))
     floor = F.when(adds_up, 0.0).when(target > 0, 0.6).otherwise(0.5)
-    return (
-        parsed.withColumn("_floor", floor)
-        .withColumn("line_items", F.filter("line_items", lambda i: i["confidence"] > F.col("_floor")))
-        .drop("_floor")
-    )
+    # bound to a variable, as the optimizer would put the floor's expression into the filter, to be computed for each item
+    known = F.array(F.struct(F.col("line_items").alias("items"), floor.alias("floor")))
+    kept = F.transform(known, lambda p: F.filter(p["items"], lambda i: i["confidence"] > p["floor"]))
+    return parsed.withColumn("line_items", F.get(kept, F.lit(0)))
 
 
 def with_confidence(parsed: DataFrame) -> DataFrame:

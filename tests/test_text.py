@@ -127,3 +127,17 @@ def test_close_names_misses_no_pair(spark):
     got = {(r.a, r.b) for r in close_names(df, df.withColumnRenamed("a", "b"), "a", "b", "ratcliff").collect()}
     want = {(a, b) for a in names for b in names if SequenceMatcher(None, a, b).ratio() >= 0.8}
     assert got == want
+
+
+def test_later_patterns_are_read_only_where_earlier_fail(spark):
+    read = []
+
+    def reading(group):
+        read.append(group)
+        return F.when(group != "13", group)
+
+    df = spark.createDataFrame([("a 13 b 7",), ("a 5",), (None,), ("x",)], "t string")
+    got = X.first_read(F.col("t"), (r"a (\d+)", r"b (\d+)"), reading, lambda v: v.isNotNull())
+    assert [r[0] for r in df.select(got).collect()] == ["7", "5", None, None]
+    plan = df.select(X.header_date(F.col("t"), F.lit("2024-01-01").cast("date")))._jdf.queryExecution().analyzed().toString()
+    assert "coalesce" in plan and len(read) == 2
