@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +155,16 @@ def test_training_rows_are_spread(spark, monkeypatch):
     one = spark.range(100).coalesce(1)
     assert L.spread(one).rdd.getNumPartitions() == 4 and L.spread(one).count() == 100
     assert L.spread(one.where("id < 30")).rdd.getNumPartitions() == 1
+
+
+def test_texts_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """One file of documents is written by as many tasks as there are documents for."""
+    from outlay.plans.catalog import audit
+
+    texts = [f"Invoice {i}\nTotal: {i}.00" for i in range(30)]
+    spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(audit, "TEXTS_PER_TASK", 10, raising=False)
+    monkeypatch.setattr(audit, "scratch_path", lambda spark, name: str(tmp_path / name))
+    rows = audit.scan_invoice_text(spark, str(tmp_path)).collect()
+    assert sorted((r.n_chars, r.file_hash) for r in rows) == sorted((len(t) + 1, hashlib.sha256(f"{t}\n".encode()).hexdigest()) for t in texts)
+    assert len({f.name.split("-")[1] for f in (tmp_path / "texts").glob("part-*.txt")}) > 1
